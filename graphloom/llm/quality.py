@@ -24,6 +24,8 @@ from graphloom.llm.shingles import Shingler
 BUCKETS, SAMPLE = 10_000, 20_000
 #: Weights are raised to 1 / TEMPERATURE: the lower, the less the noise moves documents near the margin.
 TEMPERATURE = 0.05
+#: Rejecting a good document weighs as much as keeping so many bad ones.
+GOOD_COST = 20.0
 #: Tasks among which the tasks' count vectors are summed before the driver sums theirs.
 SLOTS = 64
 
@@ -85,8 +87,10 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return p[0] - p[1]
 
 
-def best_margin(means: np.ndarray, good: np.ndarray) -> float:
-    """Cut of the mean log ratio that maximises balanced accuracy on labelled rows; the middle of its gap.
+def best_margin(means: np.ndarray, good: np.ndarray, cost: float = GOOD_COST) -> float:
+    """Cut of the mean log ratio that serves labelled rows best; the middle of its gap.
+
+    It maximises the share of bad rows below it less `cost` times the share of good rows below it.
 
     Without rows of both labels there is nothing to separate: every row is on the good side.
     """
@@ -95,9 +99,9 @@ def best_margin(means: np.ndarray, good: np.ndarray) -> float:
     order = np.argsort(means, kind="stable")
     means, good = means[order], good[order]
     bad_below = np.concatenate([[0], np.cumsum(~good)]) / (~good).sum()
-    good_above = 1 - np.concatenate([[0], np.cumsum(good)]) / good.sum()
+    good_below = np.concatenate([[0], np.cumsum(good)]) / good.sum()
     new = np.concatenate([[True], means[1:] > means[:-1], [True]])
-    quality = np.where(new, bad_below + good_above, -1)
+    quality = np.where(new, bad_below - cost * good_below, -np.inf)
     best = np.flatnonzero(quality == quality.max())
     i = int(best[0])
     if i == 0:
