@@ -2,15 +2,16 @@
 
 1. One pass over the texts makes each document's shingle set and, of that, 128 minima of universal hashes
    x -> (a x + b) mod 2**64, 32 band keys of 4 minima each and the low byte of every minimum.
-2. Documents with equal sets collapse to a class; its least id stands for it from here on. Groups of copies,
-   however large, so cost one partial aggregate.
-3. Buckets (equal band keys) give a star: every member is a candidate of the bucket's least member. Stars are
+2. Documents with equal sets collapse to a class. Groups of copies, however large, so cost one partial
+   aggregate.
+3. Buckets (equal band keys) give a star: every member is a candidate of the bucket's first member. Stars are
    linear in the bucket; a pair of similarity 0.75 misses all 32 bands with probability 5e-6.
 4. A candidate whose signatures agree in less than 58 % of places (4.4 standard deviations under 0.75) goes;
    the others are verified on their full sets, and components are taken.
 5. A bucket whose members are still in more than one component may hide a link that no star edge showed. Its
-   members are compared pair by pair across components, by signature within tasks of at most BLOCK x BLOCK
-   members, and only pairs that pass go to verification on full sets. Components are taken again.
+   members meet across components in groups of at most two blocks of BLOCK members, where signatures and
+   hashed sets find the links that join components; a group reports fewer links than it has members, never
+   its pairs. These are verified on full sets, and components are taken again.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ HASHES, BANDS = 128, 32
 #: Share of equal signature places under which a candidate isn't verified on full sets.
 SIGNATURE_SHARE = 0.58
 #: Members of a bucket that meet in one task.
-BLOCK = 512
+BLOCK = 1024
 
 _U = np.uint64
 SKETCH = "n_shingles long, set_key string, bands array<long>, signature binary"
@@ -87,18 +88,24 @@ def sketch(docs: DataFrame, width: int = 5) -> DataFrame:
     return map_columns(docs.select(F.col("doc_id").cast("long"), "text"), compute, SKETCH, ("doc_id",))
 
 
-def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(set_key, items): the full sorted sets as packed 64-bit hashes; empty sets have no row."""
+def shingle_sets(docs: DataFrame, width: int = 5, short: bool = False) -> DataFrame:
+    """(set_key, items): the full sorted sets as packed hashes of 64 bits, or of 32; empty sets have no row."""
 
     def compute(cols: dict[str, list]) -> dict[str, list]:
         shingler = Shingler(width)
         sets = [shingler.distinct(t) for t in cols["text"]]
-        return {"set_key": [_key(x) for x in sets], "items": [x.tobytes() for x in sets]}
+        return {"set_key": [_key(x) for x in sets], "items": [(np.unique(x.astype(np.uint32)) if short else x).tobytes() for x in sets]}
 
     made = map_columns(docs.select("text"), compute, "set_key string, items binary", ())
     return made.where("set_key is not null")
 
 
+def _sets_of(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int, short: bool = False) -> DataFrame:
+    """Written table of `shingle_sets` for the keys (set_key) alone."""
+    ids = classes.join(keys, "set_key", "left_semi").select("doc_id").distinct()
+    return materialize(shingle_sets(docs.join(ids, "doc_id", "left_semi"), width, short).dropDuplicates(["set_key"]), "sets")
+
+
 def _key(values: np.ndarray) -> str | None:
     return hashlib.blake2b(values.tobytes(), digest_size=16).hexdigest() if values.size else None
 
@@ -127,8 +134,7 @@ def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs (a, b) that hold 100 * intersection >= percent * union on the full sets."""
     keys = pairs.select(F.col("a").alias("set_key")).union(pairs.select(F.col("b").alias("set_key"))).distinct()
-    ids = classes.join(keys, "set_key", "left_semi").select("doc_id").distinct()
-    sets = materialize(shingle_sets(docs.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["set_key"]), "sets")
+    sets = _sets_of(keys, classes, docs, width)
     left = sets.select(F.col("set_key").alias("a"), F.col("items").alias("set_a"))
     right = sets.select(F.col("set_key").alias("b"), F.col("items").alias("set_b"))
 
@@ -148,53 +154,87 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return links
 
 
-def _compare(batches: Iterator) -> Iterator:
-    """Pairs of each (key, i, j) group; groups come sorted and hold two blocks at most."""
-    import pyarrow as pa
+def _compare(percent: int):
+    """Links of each (key, i, j) group across components; groups come sorted and hold two blocks at most.
 
-    def pairs(rows: dict[str, list], lo: int, hi: int, out: list) -> None:
-        sig = np.frombuffer(b"".join(rows["signature"][lo:hi]), np.uint8).reshape(-1, HASHES)
-        names, within = rows["set_key"][lo:hi], rows["i"][lo] == rows["j"][lo]
-        comp = np.unique(rows["component"][lo:hi], return_inverse=True)[1]
+    A group's pairs pass, in this order: different components so far, no earlier band in common (that band's
+    group has them), sizes, signatures, and the count of common 32-bit hashes. The count can exceed the true
+    one by chance only, or fall one short; a pair that just misses is reported too, and all reported pairs
+    are verified on full sets afterwards. A pair that passes merges its components within the group, so the
+    group reports fewer links than it has members.
+    """
+
+    def links(rows: dict[str, list], lo: int, hi: int, out: list) -> None:
+        one, two, band = rows["i"][lo], rows["j"][lo], rows["band"][lo]
         own = np.array(rows["own"][lo:hi])
-        for at in np.flatnonzero(own == rows["i"][lo]):
-            good = comp != comp[at]
-            good &= np.arange(own.size) > at if within else own == rows["j"][lo]
+        names = rows["set_key"][lo:hi]
+        comp = np.unique(rows["component"][lo:hi], return_inverse=True)[1]
+        size = np.array(rows["n_shingles"][lo:hi])
+        sig = np.frombuffer(b"".join(rows["signature"][lo:hi]), np.uint8).reshape(-1, HASHES)
+        keys = np.array(rows["bands"][lo:hi])[:, :band]
+        items = [np.frombuffer(x, np.uint32) for x in rows["items"][lo:hi]]
+        place = np.arange(own.size)
+        for at in np.flatnonzero(own == one):
+            good = (comp != comp[at]) & (place > at if one == two else own == two)
+            good &= (100 * np.minimum(size, size[at]) >= percent * np.maximum(size, size[at]))
             good = np.flatnonzero(good)
-            good = good[(sig[good] == sig[at]).mean(axis=1) >= SIGNATURE_SHARE]
-            out += [(min(names[at], names[k]), max(names[at], names[k])) for k in good]
-
-    def batch_of(out: list):
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.string()) for k in (0, 1)], ["a", "b"])
-
-    rest: dict[str, list] = {}
-    for batch in batches:
-        rows = {n: rest.get(n, []) + batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
-        marks, lo, out = list(zip(rows["key"], rows["i"], rows["j"], strict=True)), 0, []
-        for hi in range(1, len(marks)):
-            if marks[hi] != marks[lo]:
-                pairs(rows, lo, hi, out)
-                lo = hi
-        rest = {n: x[lo:] for n, x in rows.items()}
-        yield batch_of(out)
-    if rest.get("key"):
-        out = []
-        pairs(rest, 0, len(rest["key"]), out)
-        yield batch_of(out)
-
-
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) across components within buckets: members (key, set_key, component, signature, n).
-
-    A bucket of n members is dealt by hash into ceil(n / BLOCK) blocks; a group holds two blocks.
+            good = good[~(keys[good] == keys[at]).any(axis=1)]
+            share = (sig[good] == sig[at]).mean(axis=1)
+            good = good[np.argsort(-share, kind="stable")][: int((share >= SIGNATURE_SHARE).sum())]
+            for part in np.array_split(good, -(-good.size // 64) or 1):
+                part = part[comp[part] != comp[at]]
+                if not part.size:
+                    continue
+                joined = np.concatenate([items[k] for k in part])
+                found = np.searchsorted(items[at], joined)
+                found[found == items[at].size] = 0
+                ends = np.cumsum([items[k].size for k in part])
+                both = np.diff(np.cumsum(items[at][found] == joined)[ends - 1], prepend=0)
+                for k, n in zip(part, both, strict=True):
+                    total = size[at] + size[k]
+                    if comp[k] == comp[at] or 100 * (n + 1) < percent * (total - n - 1):
+                        continue
+                    out.append((names[at], names[k]) if names[at] < names[k] else (names[k], names[at]))
+                    if 100 * n >= percent * (total - n):
+                        comp[comp == comp[k]] = comp[at]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def batch_of(out: list):
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.string()) for k in (0, 1)], ["a", "b"])
+
+        rest: dict[str, list] = {}
+        for batch in batches:
+            rows = {n: rest.get(n, []) + batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
+            marks, lo, out = list(zip(rows["key"], rows["i"], rows["j"], strict=True)), 0, []
+            for hi in range(1, len(marks)):
+                if marks[hi] != marks[lo]:
+                    links(rows, lo, hi, out)
+                    lo = hi
+            rest = {n: x[lo:] for n, x in rows.items()}
+            yield batch_of(out)
+        if rest.get("key"):
+            out = []
+            links(rest, 0, len(rest["key"]), out)
+            yield batch_of(out)
+
+    return run
+
+
+def _hidden_links(members: DataFrame, percent: int) -> DataFrame:
+    """Likely links (a, b) across components within buckets.
+
+    members: (key, band, set_key, component, n, n_shingles, bands, signature, items). A bucket of n members
+    is dealt by hash into ceil(n / BLOCK) blocks; a group holds two blocks.
     """
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    names = ("key", "i", "j", "own", "set_key", "component", "signature")
+    names = ("key", "i", "j", "own", "band", "set_key", "component", "n_shingles", "bands", "signature", "items")
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select(*names)
     groups = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return groups.mapInArrow(_compare, "a string, b string").distinct()
+    return groups.mapInArrow(_compare(percent), "a string, b string").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -211,9 +251,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(sketch(docs, width), "sketch")
     full = rows.where("set_key is not null and doc_id is not null")
-    first = [F.first(c).alias(c) for c in ("bands", "signature")]
+    first = [F.first(c).alias(c) for c in ("n_shingles", "bands", "signature")]
     classes = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *first), "classes")
-    members = classes.select("set_key", F.explode("bands").alias("key"))
+    members = classes.select("set_key", F.posexplode("bands").alias("band", "key"))
     heads = members.groupBy("key").agg(F.min("set_key").alias("lead"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(members.join(heads, "key"), "buckets")
     stars = shared.where("set_key > lead").select(F.col("lead").alias("a"), F.col("set_key").alias("b")).distinct()
@@ -222,15 +262,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     found = materialize(connected_components(links), "components").withColumnRenamed("node", "set_key")
 
     own = F.coalesce("component", "set_key").alias("component")
-    placed = shared.where("n > 2").join(found, "set_key", "left").select("key", "set_key", "n", own)
+    placed = shared.where("n > 2").join(found, "set_key", "left").select("key", "band", "set_key", "n", own)
     spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    hidden = placed.join(spread.select("key"), "key", "left_semi").join(signatures, "set_key")
-    extra = materialize(_block_pairs(hidden).join(stars, ["a", "b"], "left_anti"), "hidden")
+    apart = materialize(placed.join(spread.select("key"), "key", "left_semi"), "apart")
+    short = _sets_of(apart.select("set_key").distinct(), classes, docs, width, short=True)
+    hidden = apart.join(classes.drop("doc_id"), "set_key").join(short, "set_key")
+    extra = materialize(_hidden_links(hidden, percent), "hidden")
+    drop_scratch(short)
     if not extra.isEmpty():
         more = _verified(extra, classes, docs, percent, width)
         if not more.isEmpty():
             found = materialize(connected_components(links.union(more)), "components").withColumnRenamed("node", "set_key")
     drop_scratch(shared)
+    drop_scratch(apart)
 
     places = classes.select("set_key", "doc_id").join(found, "set_key", "left").select("set_key", "doc_id", own)
     least = places.groupBy("component").agg(F.min("doc_id").alias("least"))
