@@ -285,3 +285,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
         .join(places, "set_key", "left")
         .select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
     )
+
+
+def keep_one(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that of the least doc_id.
+
+    Rows with null ids or empty sets are groups of their own; rows that repeat an id with the same text count
+    as copies.
+    """
+    kept = near_duplicates(docs, percent, width).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    held = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return held.unionByName(docs.where("doc_id is null"))

@@ -97,3 +97,15 @@ def label_weights(labels: DataFrame) -> DataFrame:
     """(doc_id, weight) from labels.quality: the least label's weight where a document has several."""
     weight = F.create_map(*[x for k, v in QUALITY.items() for x in (F.lit(k), F.lit(v))])[F.col("quality").cast("int")]
     return labels.where("doc_id is not null").select("doc_id", weight.alias("weight")).groupBy("doc_id").agg(F.min("weight").alias("weight"))
+
+
+def repeat_mixed(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+    """`docs` with all its columns, each row as often as `mix` takes it; rows that it doesn't take go.
+
+    Rows without words are no part of a mix of words and go too. Rows that share an id share the greater
+    number.
+    """
+    copies = mix(docs, quality, **options).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.col("copies"))).cast("int").alias("__graphloom_copies"))
+    copies = copies.withColumnRenamed("doc_id", "__graphloom_id").where(F.col("__graphloom_copies") > 0)
+    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies["__graphloom_id"]))
+    return joined.withColumn("__graphloom_copy", F.explode(F.sequence(F.lit(1), F.col("__graphloom_copies")))).select(*docs.columns)

@@ -13,6 +13,7 @@ SAMPLE labelled rows, chosen by hash of the id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -127,14 +128,49 @@ def _kth_largest(keys: DataFrame, key: str, k: int) -> int | None:
     return prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 6) -> DataFrame:
-    """(doc_id, n_features, log_weight, kept) for every row of `docs` (doc_id, text).
+@dataclass
+class Model:
+    """Log ratios of the buckets, the margin per n-gram and the least key that is kept (None: keep none)."""
+
+    ratios: np.ndarray
+    margin: float
+    least: int | None = None
+    seed: int = 6
+
+    @property
+    def separates(self) -> bool:
+        return bool(np.isfinite(self.margin))
+
+    def score(self, docs: DataFrame, keep: tuple[str, ...], count: str = "n_features", total: str = "total") -> DataFrame:
+        """Columns `keep` with the number of features and the sum of log ratios (null without features)."""
+        ratios = self.ratios
+
+        def compute(cols: dict[str, list]) -> dict[str, list]:
+            shingler = Shingler(1)
+            found = [features(shingler, t) for t in cols["text"]]
+            return {count: [f.size for f in found], total: [float(ratios[f].sum()) if f.size else None for f in found]}
+
+        return map_columns(docs, compute, f"`{count}` long, `{total}` double", keep)
+
+    def weight(self, count: str = "n_features", total: str = "total") -> Column:
+        return F.col(total) - F.lit(self.margin if self.separates else 0.0) * F.col(count)
+
+    def key(self, doc_id: str = "doc_id", count: str = "n_features", total: str = "total") -> Column:
+        """Tempered log weight with Gumbel noise, as a whole number of millionths."""
+        gumbel = -F.log(-F.log(unit_hash(doc_id, seed=self.seed + 1)))
+        return F.floor((self.weight(count, total) / TEMPERATURE + gumbel) * 1e6)
+
+    def kept(self, key: Column, count: str = "n_features") -> Column:
+        if not self.separates:
+            return F.col(count) > 0
+        return F.coalesce(key >= F.lit(self.least), F.lit(False)) if self.least is not None else F.lit(False)
 
-    `labels` (doc_id, quality 0/1). log_weight is the sum of log ratios less the fitted margin per n-gram; kept
-    tells whether the Gumbel top-k took the row. Null texts and texts without words have no features, a null
-    log_weight and are never kept. Without labels of both values every row with words is kept. A document
-    with several labels counts by the least. Rows whose key equals the k-th are all kept, so equal rows
-    share their result. Reruns give the same rows.
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 6) -> tuple[Model, DataFrame]:
+    """Model of `docs` (doc_id, text) and `labels` (doc_id, quality 0/1), and the written table of its keys.
+
+    The table has doc_id, n_features, log_weight, key for every row of `docs`. A document with several labels
+    counts by the least.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("quality"))
@@ -142,23 +178,33 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int
     # about `sample` rows of two numbers: safe to send to every task
     few = marked.where(unit_hash("label_id", seed=seed) < sample / max(n, 1))
     labelled = rows.join(F.broadcast(few), F.col("doc_id") == F.col("label_id"), "left").drop("label_id")
-    raw, target = count_models(labelled.select("text", (F.col("quality") == 1).alias("target")))
-    ratios = log_ratios(raw, target)
-
-    def compute(cols: dict[str, list]) -> dict[str, list]:
-        shingler = Shingler(1)
-        found = [features(shingler, t) for t in cols["text"]]
-        return {"n_features": [f.size for f in found], "total": [float(ratios[f].sum()) if f.size else None for f in found]}
-
-    scored = materialize(map_columns(labelled, compute, "n_features long, total double", ("doc_id", "quality")), "weights")
-    fit = scored.where("quality is not null and n_features > 0").select(F.col("total") / F.col("n_features"), "quality").collect()
-    margin = best_margin(np.array([r[0] for r in fit]), np.array([r[1] == 1 for r in fit])) if fit else -np.inf
-    if not np.isfinite(margin):
-        return scored.select("doc_id", "n_features", F.col("total").alias("log_weight"), (F.col("n_features") > 0).alias("kept"))
-    weight: Column = F.col("total") - F.lit(margin) * F.col("n_features")
-    gumbel = -F.log(-F.log(unit_hash("doc_id", seed=seed + 1)))
-    keyed = scored.select("doc_id", "n_features", weight.alias("log_weight"), F.floor((weight / TEMPERATURE + gumbel) * 1e6).alias("key"))
-    valid = keyed.where("key is not null")
-    least = _kth_largest(valid, "key", valid.where("log_weight >= 0").count())
-    kept = F.coalesce(F.col("key") >= F.lit(least), F.lit(False)) if least is not None else F.lit(False)
-    return keyed.select("doc_id", "n_features", "log_weight", kept.alias("kept"))
+    model = Model(log_ratios(*count_models(labelled.select("text", (F.col("quality") == 1).alias("target")))), -np.inf, None, seed)
+    scored = materialize(model.score(labelled, ("doc_id", "quality")), "weights")
+    sampled = scored.where("quality is not null and n_features > 0").select(F.col("total") / F.col("n_features"), "quality").collect()
+    if sampled:
+        model.margin = best_margin(np.array([r[0] for r in sampled]), np.array([r[1] == 1 for r in sampled]))
+    keyed = scored.select("doc_id", "n_features", model.weight().alias("log_weight"), model.key().alias("key"))
+    if model.separates:
+        valid = keyed.where("key is not null")
+        model.least = _kth_largest(valid, "key", valid.where("log_weight >= 0").count())
+    return model, keyed
+
+
+def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 6) -> DataFrame:
+    """(doc_id, n_features, log_weight, kept) for every row of `docs` (doc_id, text).
+
+    log_weight is the sum of log ratios less the fitted margin per n-gram; kept tells whether the Gumbel top-k
+    took the row. Null texts and texts without words have no features, a null log_weight and are never kept.
+    Without labels of both values every row with words is kept. Rows whose key equals the k-th are all kept,
+    so equal rows share their result. Reruns give the same rows.
+    """
+    model, keyed = fit(docs, labels, sample, seed)
+    return keyed.select("doc_id", "n_features", "log_weight", model.kept(F.col("key")).alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 6) -> DataFrame:
+    """Rows of `docs` that `resample` keeps, with all their columns; texts are not shuffled."""
+    model, _ = fit(docs, labels, sample, seed)
+    count, total = "__graphloom_n", "__graphloom_total"
+    scored = model.score(docs, tuple(docs.columns), count, total)
+    return scored.where(model.kept(model.key("doc_id", count, total), count)).select(*docs.columns)

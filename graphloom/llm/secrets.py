@@ -184,20 +184,34 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "extra")).alias("spans"))
 
 
-def redact(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """(doc_id, text) with every span replaced by `mask`; overlapping spans are masked as one."""
+def _masked(text: Column, spans: Column, mask: str) -> Column:
     merged = F.aggregate(
-        F.array_sort(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
+        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
             F.struct(
                 s["end"].alias("at"),
                 F.when(s["start"] < acc["at"], acc["out"])
-                .otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
+                .otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
                 .alias("out"),
             )
         ),
     )
-    rest = F.concat(merged["out"], F.substring(F.col("text"), merged["at"] + 1, F.char_length("text")))
-    clean = (F.size("base") == 0) & (F.size("extra") == 0)
-    return scanned.select("doc_id", F.when(clean, F.col("text")).otherwise(rest).alias("text"))
+    rest = F.concat(merged["out"], F.substring(text, merged["at"] + 1, F.char_length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(rest)
+
+
+def redact(docs: DataFrame, mask: str = "[SECRET]", margin: float = MARGIN, samples: DataFrame | None = None) -> DataFrame:
+    """`docs` with every span of `scan` replaced by `mask`, overlapping spans by one; n_chars follows the text.
+
+    All rows and columns stay; null texts stay null.
+    """
+    if samples is None:
+        samples = random_samples(docs.sparkSession).union(identifier_samples(docs))
+    model, found = train(samples), "__graphloom_spans"
+    spanned = docs.withColumn(found, F.when(F.col("text").isNotNull(), F.concat(base_spans(F.col("text")), random_spans(F.col("text"), model, margin))))
+    out = spanned.withColumn("text", F.when(F.col("text").isNotNull(), _masked(F.col("text"), F.col(found), mask)))
+    if "n_chars" in docs.columns:
+        changed = F.size(found) > 0
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
