@@ -99,7 +99,7 @@ def pack(lengths: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, bud
     ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece")) - 1)
     joined = ranked.join(offsets, F.col("bucket").eqNullSafe(F.col("b")) & (F.col("shard") == F.col("s")))
     room = F.greatest(F.floor(F.lit(budget) / F.col("bucket_len")), F.lit(1))
-    batch = F.floor((F.col("offset") + F.col("rank")) / room).cast("long")
+    batch = F.when(F.col("bucket").isNotNull(), F.floor((F.col("offset") + F.col("rank")) / room).cast("long"))
     return joined.select("doc_id", "n_tokens", "piece", "start", "length", "bucket", "bucket_len", batch.alias("batch"))
 
 

@@ -27,8 +27,23 @@ KINDS = (("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24))
 TOKEN_MIN = 16
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{TOKEN_MIN},}}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+#: Common words of program identifiers, for the model of ordinary names.
+NAME_WORDS = (
+    "account action active address after all amount array async back base batch before block body bool bottom box buffer build button bytes cache call category cell center change channel check child "
+    "class clear click client close code color column command comment commit common compare complete config connect console contact container content context control cookie copy core count counter country create current cursor "
+    "data database date debug default define delete delta depth desc device dialog digest directory disable display distance document domain double download draw driver duration edge edit element email empty enable encode end "
+    "engine entity entry error event example execute exit export extract factory failed feature fetch field file filter final find first flag float flow folder font footer force format found frame from front full function "
+    "get global graph grid group handle handler hash header height hidden history host hour html icon image import index info init inner input insert instance integer interface internal invalid invoice item iterator job join json "
+    "key label language last layer layout left length level library light limit line link list load local lock log login long loop machine main manager map margin mask match matrix max member memory merge message meta method "
+    "middle min minute mobile mode model module month mouse move name native network next node normal note notify null number object offset old open option order origin other outer output owner package page panel parent parse part "
+    "partition password path pattern payload people period phone picture pixel place play plugin point policy pool port position post prefix previous price primary print priority private process product profile progress project property protocol "
+    "provider public push query queue quick random range rate read ready real record redirect reference refresh region register release remote remove render replace report request require reset resource response result return right role root "
+    "route row rule run sample save scale schedule schema scope score screen script scroll search second section secure select send sequence server service session setting setup shape share shift shop show size sort source space "
+    "stack stage start state status step stop storage store stream string style submit success summary support switch symbol sync system table target task temp template test text theme thread time timeout title toggle token top total trace track "
+    "transform tree trigger type under unique unit update upload user util valid value variable vector version video view visible warning week weight width window with word work worker wrapper write year zone"
+).split()
 #: Mean log-likelihood ratio a character above which a token counts as random.
-MARGIN = 0.25
+MARGIN = 1.0
 #: Rows of the labelled samples that training reads.
 SAMPLE_DOCS, SAMPLE_SECRETS = 400, 2000
 
@@ -125,7 +140,17 @@ def identifier_samples(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
         F.concat_ws("-", F.lower("w"), F.lower("x"), F.lower("y")),
         F.concat_ws("/", F.lower("w"), F.lower("x"), F.lower("y")),
     )
-    return each.select(F.explode(named).alias("token"), F.lit(0).alias("label"))
+    found = each.select(F.explode(named).alias("token"), F.lit(0).alias("label"))
+    return found.union(name_samples(docs.sparkSession))
+
+
+def name_samples(spark, n: int = 20_000) -> DataFrame:
+    """(token, label 0): identifiers of three hashed NAME_WORDS, in snake, camel, kebab, upper and path form."""
+    words = F.split(F.lit(" ".join(NAME_WORDS)), " ")
+    pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(NAME_WORDS))) + 1).cast("int"))
+    x = spark.range(n).select("id", pick(1).alias("a"), pick(2).alias("b"), pick(3).alias("c"), F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(100)).cast("string").alias("d"))
+    forms = (F.concat_ws("_", "a", "b", "c", "d"), F.concat("a", F.initcap("b"), F.initcap("c"), "d"), F.concat_ws("-", "a", "b", "c"), F.concat_ws("_", F.upper("a"), F.upper("b"), "d"), F.concat_ws("/", "a", "b", "c"), F.concat("a", "b", "c"), F.date_format(F.timestamp_seconds(F.col("id") * 864_007), "yyyy-MM-dd'T'HH-mm-ss"))
+    return x.select(F.element_at(F.array(*forms), (F.col("id") % len(forms) + 1).cast("int")).alias("token"), F.lit(0).alias("label"))
 
 
 def _mixed(token: Column) -> Column:
