@@ -101,7 +101,8 @@ class Conversion:
         marked = marked.join(lost.withColumn("_lost", F.lit(True)), "file", "left")
         marked = marked.join(voided.union(broken).distinct().withColumn("_void", F.lit(True)), "file", "left")
         state = F.when(~known, "UNKNOWN_SCHEMA").when(F.col("_lost"), "DANGLING").when(F.col("_void"), "FAILED").otherwise("OK")
-        return marked.select("file", "schema", state.alias("state"), "cutoff")
+        cut = F.when(known, F.col("cutoff")).alias("cutoff")
+        return marked.select("file", "schema", state.alias("state"), cut).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def live(self) -> DataFrame:
@@ -126,7 +127,7 @@ class Conversion:
         placed = summed.join(ids.seed(numbers, ["file"], "line_num"), "file").withColumn("id", F.col("seed") + F.col("upto") - 1)
         own = placed.where("fresh and kind = 'literal'").select("file", F.col("line_num").alias("first_line"), F.col("step").alias("first_step"), F.col("id").alias("first_id"))
         joined = placed.join(own, ["file", "first_line", "first_step"], "left")
-        return joined.select("file", "line_num", "step", "kind", F.coalesce("first_cls", "cls").alias("cls"), "xsd", "lexical", F.coalesce("first_id", "id").alias("id"), "fresh")
+        return joined.select("file", "line_num", "step", "kind", F.coalesce("first_cls", "cls").alias("cls"), "xsd", "lexical", F.coalesce("first_id", "id").alias("id"), "fresh").persist(StorageLevel.MEMORY_AND_DISK)
 
     def _class_iri(self, cls: str = "cls") -> Column:
         """Class address by the file's schema; primitives and lists of them are EXPRESS's own."""
@@ -176,6 +177,12 @@ class Conversion:
             "file", F.lit(-1).cast("long").alias("line_num"), "step", F.lit(0).alias("part"), F.lit(self.base).alias("subject"), "predicate", "object", F.lit("iri").alias("object_kind"), F.lit(None).cast("string").alias("datatype")
         )
 
+    def release(self) -> None:
+        """Frees what the tables share; they can still be read, at the cost of planning again."""
+        for name in ("events", "status", "numbered"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
+
     @cached_property
     def diagnostics(self) -> DataFrame:
         """file, line_num, code, severity, message: what was odd, dangling, unknown or void."""
