@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, unit_hash, word_count
+from graphloom.llm.common import materialize, unit_digest, word_count
 
 BINS = 4096
 #: Weights of sources in order of their names, repeating.
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = 1.5, m
         rows = rows.join(once, "doc_id", "left").withColumn("w", F.coalesce(F.when(F.col("w") > 0, F.col("w")), F.lit(1.0)))
     else:
         rows = rows.withColumn("w", F.lit(1.0))
-    draw: Column = -F.log(unit_hash("doc_id", seed=seed)) / F.col("w")
+    draw: Column = -F.log(unit_digest("doc_id", seed=seed)) / F.col("w")
     rows = rows.withColumn("key", draw).withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * BINS).cast("int"))
     rows = materialize(rows, "draws")
     # one row a source and bin, summed before the shuffle
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = 1.5, m
     in_bin = Window.partitionBy("source").orderBy("key", "doc_id", "size")
     tight = joined.where(at_edge).withColumn("prefix", F.col("edge_before") + F.sum("size").over(in_bin.rowsBetween(Window.unboundedPreceding, 0)))
     tight = tight.withColumn("extra", F.col("prefix") - F.col("size") / 2 <= F.col("rest")).drop("prefix")
-    copies = F.col("epochs") + (F.col("extra") & (F.col("rest") > 0)).cast("long")
+    copies = F.col("epochs") + (F.col("extra") & (F.col("rest") > 0) & (F.col("size") > 0)).cast("long")
     return clear.unionByName(tight).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.alias("copies"))
 
 

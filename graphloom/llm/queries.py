@@ -68,5 +68,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OPERATORS}
 
 
+#: Exact keys, water-filling by windows, and one prefix sum a source.
+_OP4 = r"""
+    WITH q AS (SELECT doc_id, min(CASE quality WHEN 0 THEN 0.5 WHEN 1 THEN 2.0 END) AS w FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+        -ln((CAST(CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / coalesce(q.w, 1.0) AS key
+        FROM documents LEFT JOIN q USING (doc_id)),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (ARRAY[5.0, 2.0, 1.0])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS weight FROM d GROUP BY source),
+    f AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total,
+        coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+        sum(weight) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM s),
+    l AS (SELECT *, max(CASE WHEN cap / weight >= (total - spent) / open THEN (total - spent) / open END) OVER () AS level FROM f),
+    t AS (SELECT source, source_size, least(cap, coalesce(weight * level, cap)) AS target FROM l),
+    e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+    r AS (SELECT d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix
+        FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+    c AS (SELECT *, epochs + CASE WHEN rest > 0 AND size > 0 AND prefix - size / 2.0 <= rest THEN 1 ELSE 0 END AS copies FROM r)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken, source, CAST(copies AS BIGINT) AS copies FROM c"""
+
+#: All pairs that share a shingle, and the closure of the links.
+_OP7 = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+    r(doc, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc, l.y FROM r JOIN links l ON l.x = r.seen),
+    m AS (SELECT doc, min(seen) AS component_id FROM r GROUP BY doc)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.doc = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the operator: models, digests of images, dynamic programs and xxhash it can't."""
+    return {"op4_mixing": " ".join(_OP4.split()), "op7_minhash": " ".join(_OP7.split())}
