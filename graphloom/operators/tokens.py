@@ -88,13 +88,13 @@ def reference(lexeme: str) -> int:
 
 
 def instances(statements: DataFrame) -> DataFrame:
-    """(file, ord, line_num, name, raw) of statements (file, ord, text) in built-in expressions."""
+    """(file, ord, line_num, name, raw, text) of statements (file, ord, text) in built-in expressions."""
     body = F.expr("substring(text, 2)")
     raw = F.when(F.locate("=", body) > 0, F.expr("substring(text, locate('=', text, 2) + 1)")).otherwise(body)
     number = F.regexp_replace(F.substring_index(body, "=", 1), r"[^0-9]", "")
     number = F.when(F.locate("=", body) > 0, F.coalesce(number.try_cast("bigint"), F.lit(-(1 << 63))))
     name = F.regexp_replace(F.regexp_extract(raw, r"^([^(;]*)", 1), r"\s", "")
-    return statements.select("file", "ord", number.alias("line_num"), name.alias("name"), raw.alias("raw"))
+    return statements.select("file", "ord", number.alias("line_num"), name.alias("name"), raw.alias("raw"), "text")
 
 
 def tokens(statements: DataFrame) -> DataFrame:

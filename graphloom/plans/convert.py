@@ -12,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from graphloom.functions.lexical import boolean_lexical, iri, logical_name, valu
 from graphloom.operators import ids, resolve
 from graphloom.operators.events import events
 from graphloom.operators.tokens import instances
+from graphloom.scratch import drop_scratch, materialize
 from graphloom.sources.express import EXPRESS_NS, Catalog
 from graphloom.sources.spf import read_statements
 
@@ -33,7 +33,8 @@ ID_BLOCK = 1 << 16
 
 @dataclass
 class Conversion:
-    """A conversion and its tables; each is a lazy plan.
+    """A conversion and its tables. Instances, events, status and numbered are written to the shared folder when
+    they are first asked for, which ends their lineage; the others are lazy plans over these.
 
     remove_duplicates: instances of equal text after the number become the first of them.
     """
@@ -51,8 +52,8 @@ class Conversion:
     @cached_property
     def instances(self) -> DataFrame:
         """file, line_num, ord, name, raw, text, schema; one row a line number."""
-        parsed = instances(self.statements).join(self.statements, ["file", "ord"]).where("line_num is not null")
-        return resolve.last_wins(parsed, ["file", "line_num"], ["ord"]).join(self.schemas, "file")
+        parsed = instances(self.statements).where("line_num is not null")
+        return materialize(resolve.last_wins(parsed, ["file", "line_num"], ["ord"]).join(self.schemas, "file"), "instances")
 
     @cached_property
     def renamed(self) -> DataFrame:
@@ -83,7 +84,7 @@ class Conversion:
         found = events(self.kept.select("file", "schema", "text"), self.catalogs)
         if self.remove_duplicates:
             found = resolve.redirect(found, "ref_line", self.renamed, "dup_line", "canon_line", ("file",))
-        return found.persist(StorageLevel.MEMORY_AND_DISK)  # several tables read it; lost parts are planned again
+        return materialize(found, "events")  # several tables read it
 
     @cached_property
     def status(self) -> DataFrame:
@@ -102,7 +103,7 @@ class Conversion:
         marked = marked.join(voided.union(broken).distinct().withColumn("_void", F.lit(True)), "file", "left")
         state = F.when(~known, "UNKNOWN_SCHEMA").when(F.col("_lost"), "DANGLING").when(F.col("_void"), "FAILED").otherwise("OK")
         cut = F.when(known, F.col("cutoff")).alias("cutoff")
-        return marked.select("file", "schema", state.alias("state"), cut).persist(StorageLevel.MEMORY_AND_DISK)
+        return materialize(marked.select("file", "schema", state.alias("state"), cut), "status")
 
     @cached_property
     def live(self) -> DataFrame:
@@ -123,11 +124,11 @@ class Conversion:
         fresh = F.col("first_line").isNull() | (F.col("first_line") == F.col("line_num")) & (F.col("first_step") == F.col("step"))
         marked = marked.withColumn("fresh", fresh).withColumn("takes", fresh.cast("long"))
         summed = ids.running(marked, ["file"], F.floor(F.col("line_num") / ID_BLOCK), ["line_num", "step"], "takes", "upto")
-        numbers = self.statements.join(instances(self.statements).select("file", "ord", "line_num"), ["file", "ord"])
+        numbers = instances(self.statements)
         placed = summed.join(ids.seed(numbers, ["file"], "line_num"), "file").withColumn("id", F.col("seed") + F.col("upto") - 1)
         own = placed.where("fresh and kind = 'literal'").select("file", F.col("line_num").alias("first_line"), F.col("step").alias("first_step"), F.col("id").alias("first_id"))
         joined = placed.join(own, ["file", "first_line", "first_step"], "left")
-        return joined.select("file", "line_num", "step", "kind", F.coalesce("first_cls", "cls").alias("cls"), "xsd", "lexical", F.coalesce("first_id", "id").alias("id"), "fresh").persist(StorageLevel.MEMORY_AND_DISK)
+        return materialize(joined.select("file", "line_num", "step", "kind", F.coalesce("first_cls", "cls").alias("cls"), "xsd", "lexical", F.coalesce("first_id", "id").alias("id"), "fresh"), "numbered")
 
     def _class_iri(self, cls: str = "cls") -> Column:
         """Class address by the file's schema; primitives and lists of them are EXPRESS's own."""
@@ -178,10 +179,12 @@ class Conversion:
         )
 
     def release(self) -> None:
-        """Frees what the tables share; they can still be read, at the cost of planning again."""
-        for name in ("events", "status", "numbered"):
+        """Deletes the written tables; plans over them can't run any more, new ones write them again."""
+        for name in ("instances", "events", "status", "numbered"):
             if name in self.__dict__:
-                self.__dict__.pop(name).unpersist()
+                drop_scratch(self.__dict__[name])
+        for name in [n for n, x in vars(type(self)).items() if isinstance(x, cached_property)]:
+            self.__dict__.pop(name, None)
 
     @cached_property
     def diagnostics(self) -> DataFrame:

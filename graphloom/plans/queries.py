@@ -76,7 +76,7 @@ def tokenize_args(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT p_brand AS file, p_partkey AS ord, p_partkey AS line_num, 'PART' AS name, ' PART(''' || replace(p_name, ' ', ''',''') || ''',(' || p_size || ',$),#' || p_size || ');' AS raw FROM part""")
 def statement_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return instances(_part_statements(spark, sf_dir))
+    return instances(_part_statements(spark, sf_dir)).drop("text")
 
 
 @query("""
