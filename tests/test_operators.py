@@ -27,7 +27,7 @@ def test_catalog():
 
 def test_catalog_tables(spark):
     attributes = CATALOG.attribute_table(spark)
-    assert attributes.where("is_list").select("entity").distinct().count() == 6
+    assert attributes.where("is_list").select("entity").distinct().count() == 7
     assert CATALOG.enum_table(spark).count() == 3
     assert CATALOG.entity_table(spark).where("name = 'Person'").first()["arity"] == 3
     assert CATALOG.type_table(spark).count() == len(CATALOG.types)
