@@ -35,8 +35,8 @@ _BLOCK = frozenset(
 _MAIN = frozenset(("article", "main"))
 #: Words in class, id and role names that mark what is not main text.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|nav(?:bar|igation)?|menus?|breadcrumbs?|side-?bars?|footers?|site-?header|page-?header|mast-?head|"
-    r"comments?|comment-?list|respond|disqus|cookies?|consent|gdpr|notices?|pop-?ups?|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations?)?|widgets?|pagination|pager|search|"
+    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?:ads?|adsense|adbox|adslot|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|nav(?:bar|igation)?|menus?|breadcrumbs?|side-?bars?|footers?|site-?header|page-?header|mast-?head|"
+    r"comments?|comment-?list|respond|replies|discussion|disqus|cookies?|consent|gdpr|notices?|pop-?ups?|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations?)?|widgets?|pagination|pager|search|"
     r"toolbar|skip-?link|copyright|complementary|contentinfo|search-?form|dialog|alert|alertdialog|toc)(?:$|[\s_-])",
     re.I,
 )
@@ -52,8 +52,11 @@ class Line:
     main: bool
 
 
-def lines(page: str) -> list[Line]:
-    """The page's blocks in order. A tag cut off at the end is dropped; unknown tags are inline."""
+def lines(page: str, by_names: bool = True) -> list[Line]:
+    """The page's blocks in order. A tag cut off at the end is dropped; unknown tags are inline.
+
+    Without `by_names`, class, id and role names mark nothing.
+    """
     out: list[Line] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, away, main
@@ -103,8 +106,8 @@ def lines(page: str) -> list[Line]:
         attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(m[3])}
         marks = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
         is_main = name in _MAIN or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
-        hidden = "hidden" in attributes.get("style", "").lower() or "display:none" in attributes.get("style", "").lower().replace(" ", "") or attributes.get("aria-hidden") == "true"
-        is_away = name in _AWAY and not (name == "header" and main) or hidden or bool(marks.strip() and _NAMES.search(marks) and name not in ("html", "body") and not (is_main and name in _MAIN))
+        hidden = re.search(r"(?:^|\s)hidden(?:\s|$)", m[3]) is not None or "hidden" in attributes.get("style", "").lower() or "display:none" in attributes.get("style", "").lower().replace(" ", "") or attributes.get("aria-hidden") == "true"
+        is_away = name in _AWAY and not (name == "header" and main) or hidden or bool(by_names and marks.strip() and _NAMES.search(marks) and name not in ("html", "body") and not (is_main and name in _MAIN))
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             # these close an open one of their kind; its marks go with it
             for i in range(len(stack) - 1, -1, -1):
@@ -154,9 +157,15 @@ def between(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tup
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Main text: blocks in page order joined by an empty line; empty for null and for pages without text."""
-    found = lines(page or "")
-    kept = [x for x in found if not x.away]
-    named = [x for x in kept if x.main]
+    for by_names in (True, False):  # names on the page's outermost elements can mark all of it
+        text = _selected(lines(page or "", by_names), window, surge)
+        if text:
+            return text
+    return ""
+
+
+def _selected(found: list[Line], window: int, surge: int) -> str:
+    named = [x for x in found if x.main and not x.away]
     if named:
         # the page says where its text is: lines elsewhere have no length, and no gap ends the region
         return "\n\n".join(x.text for x in named)

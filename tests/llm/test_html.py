@@ -31,6 +31,12 @@ def test_odd_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_names_on_wrappers():
+    assert html.main_text("<div class='page has-sidebar'><p>text of the page</p><div class='sidebar'>side</div></div>") == "text of the page"
+    assert html.main_text("<div class='widget'><article><p>kept</p></article></div>") == "kept"
+    assert html.main_text("<p hidden>no</p><p>yes</p><div style='display: none'>no</div>") == "yes"
+
+
 def test_region():
     assert html.between([0, 5, 0, 0, 0, 100, 50, 0, 3, 0, 0, 0, 9], 3, 120) == (5, 9)
     assert html.between([0, 5, 0, 7], 3, 120) == (1, 4) and html.between([], 3, 120) == (0, 0)
