@@ -6,7 +6,7 @@ import pytest
 
 from graphloom.plans import queries as own
 
-from conftest import DATA
+from mini import DATA
 
 SF = f"{DATA}/sf0.001"
 
