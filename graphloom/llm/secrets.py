@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import unit_hash
+
 #: The three base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -123,12 +125,13 @@ def random_samples(spark, n: int = SAMPLE_SECRETS) -> DataFrame:
 
 
 def identifier_samples(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
-    """(token, label 0): words of the `n` documents of least hashed id, and their joins as identifiers.
+    """(token, label 0): words of about `n` documents, chosen by hash of the id, and their joins as identifiers.
 
     Words that a base pattern marks are left out. Neighbours joined by `_`, as camel case and with a short
     number behind teach the model how ordinary names look.
     """
-    few = docs.where("text is not null").select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(n)
+    total = docs.select("doc_id").count()
+    few = docs.where("text is not null").where(unit_hash("doc_id", seed=10) < n / max(total, 1)).select("text")
     words = F.filter(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{3,}"), F.lit(0)), lambda w: ~w.rlike(r"^[0-9a-f]{24,}$"))
     each = few.select(F.explode(F.arrays_zip(words.alias("w"), F.slice(words, 2, 1_000_000).alias("x"), F.slice(words, 3, 1_000_000).alias("y"))).alias("p"))
     each = each.select("p.*").where("w is not null and x is not null and y is not null")
