@@ -2,67 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Set inside graphloom scratch folders so that `cleanup` removes nothing else.
-SCRATCH_PREFIX = "graphloom-"
+from graphloom.scratch import cleanup, drop_scratch, materialize, scratch_path, shared_dir
 
+__all__ = ["cleanup", "drop_scratch", "map_columns", "materialize", "scratch_path", "shared_dir", "table", "unit_digest", "unit_hash", "word_count"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the synthetic tables, read by Spark alone (the path may be remote)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: `spark.checkpoint.dir` of the session.
-
-    Only where the setting is absent (tests, a single local JVM) a temporary folder of this machine
-    is made and set; on a cluster the setting must exist.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="graphloom-checkpoints-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{SCRATCH_PREFIX}{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes `df` as a table in the shared folder and reads it back.
-
-    The lineage ends there and lost executors cost no recomputation beyond the table.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Deletes a table made by `materialize` that no pending plan reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if f"/{SCRATCH_PREFIX}" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     """Deterministic uniform value in (0, 1) of the columns' values; null counts as a value."""
     h = F.xxhash64(F.lit(seed), *cols)
@@ -82,6 +36,17 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+#: Most rows of an Arrow batch; whole texts are rows, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of Python stages by smaller Arrow batches, for the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def map_columns(df: DataFrame, compute: Callable[[dict[str, list]], dict[str, list]], added: str, keep: tuple[str, ...]) -> DataFrame:
     """Columns `keep` of `df` unchanged, and beside them the columns `added` (DDL) that `compute` makes.
 
@@ -90,6 +55,7 @@ def map_columns(df: DataFrame, compute: Callable[[dict[str, list]], dict[str, li
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     more = T.StructType.fromDDL(added)
     schema = T.StructType([*(df.schema[c] for c in keep), *more])
 

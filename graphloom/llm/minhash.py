@@ -164,15 +164,15 @@ def _compare(percent: int):
     group reports fewer links than it has members.
     """
 
-    def links(rows: dict[str, list], lo: int, hi: int, out: list) -> None:
-        one, two, band = rows["i"][lo], rows["j"][lo], rows["band"][lo]
-        own = np.array(rows["own"][lo:hi])
-        names = rows["set_key"][lo:hi]
-        comp = np.unique(rows["component"][lo:hi], return_inverse=True)[1]
-        size = np.array(rows["n_shingles"][lo:hi])
-        sig = np.frombuffer(b"".join(rows["signature"][lo:hi]), np.uint8).reshape(-1, HASHES)
-        keys = np.array(rows["bands"][lo:hi])[:, :band]
-        items = [np.frombuffer(x, np.uint32) for x in rows["items"][lo:hi]]
+    def links(group, out: list) -> None:
+        """group: Arrow rows of one (key, i, j); their buffers are read in place."""
+        one, two, band = (group.column(c)[0].as_py() for c in ("i", "j", "band"))
+        own, size = group.column("own").to_numpy(), group.column("n_shingles").to_numpy()
+        names = group.column("set_key").to_pylist()
+        comp = np.unique(group.column("component").to_pylist(), return_inverse=True)[1]
+        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
+        keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, :band]
+        items = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("items")]
         place = np.arange(own.size)
         for at in np.flatnonzero(own == one):
             good = (comp != comp[at]) & (place > at if one == two else own == two)
@@ -204,19 +204,20 @@ def _compare(percent: int):
         def batch_of(out: list):
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.string()) for k in (0, 1)], ["a", "b"])
 
-        rest: dict[str, list] = {}
+        rest = None  # the last group so far, of at most two blocks
         for batch in batches:
-            rows = {n: rest.get(n, []) + batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
-            marks, lo, out = list(zip(rows["key"], rows["i"], rows["j"], strict=True)), 0, []
-            for hi in range(1, len(marks)):
-                if marks[hi] != marks[lo]:
-                    links(rows, lo, hi, out)
-                    lo = hi
-            rest = {n: x[lo:] for n, x in rows.items()}
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+            marks = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1)]
+            out: list = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                links(rows.slice(lo, hi - lo), out)
+            rest = rows.slice(cuts[-1])
             yield batch_of(out)
-        if rest.get("key"):
+        if rest is not None and rest.num_rows:
             out = []
-            links(rest, 0, len(rest["key"]), out)
+            links(rest, out)
             yield batch_of(out)
 
     return run
