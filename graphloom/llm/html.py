@@ -7,13 +7,15 @@ zero the text ends, and the lines between are kept.
 Markup is read for what it says before the distribution is asked: lines inside elements that are never main
 text (menus, headers, footers, sidebars, forms, scripts, reader comments, or such class, id or role names)
 have no length, and if the page names its main part (`article`, `main` or such a role), only lines inside it
-count. Inside the span between surge and dive nothing else is dropped.
+count. On other pages the greatest region tells the main part: the element that holds it. All other regions and
+short lines of that element stay, so an advert or menu inside it ends nothing, and so does the heading before it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -33,6 +35,10 @@ _BLOCK = frozenset(
     "head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul caption".split()
 )
 _MAIN = frozenset(("article", "main"))
+_HOLDS = frozenset("body center details div html section td".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of the greatest region's characters that the element holding it has at least.
+HELD = 0.8
 #: Words in class, id and role names that mark what is not main text.
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?:ads?|adsense|adbox|adslot|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|nav(?:bar|igation)?|menus?|breadcrumbs?|side-?bars?|footers?|site-?header|page-?header|mast-?head|"
@@ -50,16 +56,33 @@ class Line:
     text: str
     away: bool
     main: bool
+    node: int = 0
+
+
+@dataclass
+class Node:
+    """A block element; 0 is the page. Numbers follow the page, so an element's descendants are `n` to `last`."""
+
+    name: str
+    mark: str
+    parent: int
+    last: int
 
 
 def lines(page: str, by_names: bool = True) -> list[Line]:
-    """The page's blocks in order. A tag cut off at the end is dropped; unknown tags are inline.
+    """The lines of `parse`."""
+    return parse(page, by_names)[0]
+
+
+def parse(page: str, by_names: bool = True) -> tuple[list[Line], list[Node]]:
+    """The page's blocks in order, and its block elements. A tag cut off at the end is dropped; unknown tags are inline.
 
     Without `by_names`, class, id and role names mark nothing.
     """
     out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, away, main
+    nodes = [Node("", "", 0, 0)]
+    stack: list[tuple[str, bool, bool, int]] = []  # element, away, main, innermost block element
     away = main = 0
     at = 0
 
@@ -68,7 +91,7 @@ def lines(page: str, by_names: bool = True) -> list[Line]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append(Line(text, away > 0, main > 0))
+                out.append(Line(text, away > 0, main > 0, stack[-1][3] if stack else 0))
 
     while True:
         m = _TOKEN.search(page, at)
@@ -91,7 +114,7 @@ def lines(page: str, by_names: bool = True) -> list[Line]:
             # an end tag closes up to its element, if it is open and no sectioning element stands between
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for _, a, k in stack[i:]:
+                    for _, a, k, _ in stack[i:]:
                         away -= a
                         main -= k
                     del stack[i:]
@@ -112,18 +135,24 @@ def lines(page: str, by_names: bool = True) -> list[Line]:
             # these close an open one of their kind; its marks go with it
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for _, a, k in stack[i:]:
+                    for _, a, k, _ in stack[i:]:
                         away -= a
                         main -= k
                     del stack[i:]
                     break
                 if stack[i][0] in _BLOCK and stack[i][0] not in ("p",):
                     break
-        stack.append((name, is_away, is_main))
+        node = stack[-1][3] if stack else 0
+        if name in _BLOCK:
+            nodes.append(Node(name, attributes.get("class", ""), node, len(nodes)))
+            node = len(nodes) - 1
+        stack.append((name, is_away, is_main, node))
         away += is_away
         main += is_main
     flush()
-    return out
+    for x in reversed(nodes):
+        nodes[x.parent].last = max(nodes[x.parent].last, x.last)
+    return out, nodes
 
 
 def distribution(lengths: list[int], window: int = WINDOW) -> list[int]:
@@ -131,15 +160,14 @@ def distribution(lengths: list[int], window: int = WINDOW) -> list[int]:
     return [sum(lengths[i : i + window]) for i in range(len(lengths))]
 
 
-def between(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """First line of the greatest region and the line behind its last.
+def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """First line of each region and the line behind its last, in order.
 
     A region starts where the distribution surges over `surge` at a line with text, and ends where it dives
-    to zero: behind the last line with text before `window` empty ones. Without a surge, all lines with text
-    are the region.
+    to zero: behind the last line with text before `window` empty ones.
     """
     sums = distribution(lengths, window)
-    best, i, n = (0, 0, 0), 0, len(lengths)
+    out, i, n = [], 0, len(lengths)
     while i < n:
         if sums[i] < surge or not lengths[i]:
             i += 1
@@ -147,31 +175,97 @@ def between(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tup
         j = i
         while j < n and sums[j]:
             j += 1
-        best = max(best, (sum(lengths[i:j]), -i, j))
+        out.append((i, j))
         i = j
-    if best[0]:
-        return -best[1], best[2]
+    return out
+
+
+def between(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
+    """The greatest of `regions`, the first of equal ones. Without a surge, all lines with text are the region."""
+    found = regions(lengths, window, surge)
+    if found:
+        return max(found, key=lambda r: sum(lengths[r[0] : r[1]]))
     full = [k for k, x in enumerate(lengths) if x]
     return (full[0], full[-1] + 1) if full else (0, 0)
 
 
+def holder(found: list[Line], nodes: list[Node], spans: list[tuple[int, int]], lo: int, hi: int) -> int:
+    """The element that holds the region [lo, hi) of `spans`.
+
+    It is the innermost one with HELD of the region's characters that can hold several blocks and has several
+    lines. Where another region lies in a sibling of its kind (name and class), both are sections of the parent.
+    """
+    weight, texts = [0] * len(nodes), [0] * len(nodes)
+    for k, x in enumerate(found):
+        if not x.away:
+            texts[x.node] += 1
+            weight[x.node] += len(x.text) if lo <= k < hi else 0
+    for n in range(len(nodes) - 1, 0, -1):
+        texts[nodes[n].parent] += texts[n]
+        weight[nodes[n].parent] += weight[n]
+    at = max(n for n in range(len(nodes)) if weight[n] >= HELD * weight[0])
+
+    def up(n: int) -> int:
+        while n and (nodes[n].name not in _HOLDS or texts[n] < 2):
+            n = nodes[n].parent
+        return n
+
+    at = up(at)
+    others = sorted({x.node for i, j in spans if (i, j) != (lo, hi) for x in found[i:j] if not x.away})
+    while at and nodes[at].name not in ("body", "html"):
+        own = nodes[at]
+        alike = [k for k in range(own.parent + 1, nodes[own.parent].last + 1) if k != at and (nodes[k].name, nodes[k].mark, nodes[k].parent) == (own.name, own.mark, own.parent)]
+        if not any(bisect_left(others, k) < bisect_right(others, nodes[k].last) for k in alike):
+            break
+        at = up(own.parent)
+    return at
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Main text: blocks in page order joined by an empty line; empty for null and for pages without text."""
     for by_names in (True, False):  # names on the page's outermost elements can mark all of it
-        text = _selected(lines(page or "", by_names), window, surge)
+        text = _selected(*parse(page or "", by_names), window, surge)
         if text:
             return text
     return ""
 
 
-def _selected(found: list[Line], window: int, surge: int) -> str:
+def _selected(found: list[Line], nodes: list[Node], window: int, surge: int) -> str:
     named = [x for x in found if x.main and not x.away]
     if named:
         # the page says where its text is: lines elsewhere have no length, and no gap ends the region
         return "\n\n".join(x.text for x in named)
     # a page without named parts: what is away stands as empty lines and ends regions
-    lo, hi = between([0 if x.away else len(x.text) for x in found], window, surge)
-    return "\n\n".join(x.text for x in found[lo:hi] if not x.away)
+    lengths = [0 if x.away else len(x.text) for x in found]
+    lo, hi = between(lengths, window, surge)
+    spans = regions(lengths, window, surge)
+    kept = set(range(lo, hi))
+    if spans:
+        at = holder(found, nodes, spans, lo, hi)
+        inside = [k for k, x in enumerate(found) if at <= x.node <= nodes[at].last]
+        if nodes[at].name in ("", "html", "body"):
+            # parts of the page itself may be anything: those of a region, what lies between, and blocks of the page's own
+            inside = [k for k in inside if spans[0][0] <= k < spans[-1][1] or not _in_part(found[k].node, at, nodes)]
+        kept.update(inside)
+        # a heading right before what is kept, and the lines between
+        first = k = min(i for i in kept if lengths[i])
+        while k and lengths[k - 1]:
+            k -= 1
+            if nodes[found[k].node].name in _HEADINGS:
+                first = k
+                if nodes[found[k].node].name == "h1":
+                    break
+        kept.update(range(first, lo))
+    return "\n\n".join(x.text for k, x in enumerate(found) if k in kept and not x.away)
+
+
+def _in_part(node: int, of: int, nodes: list[Node]) -> bool:
+    """Whether an element inside `of` lies in another one that can hold several blocks."""
+    while node != of:
+        if nodes[node].name in _HOLDS and nodes[node].name not in ("html", "body"):
+            return True
+        node = nodes[node].parent
+    return False
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -52,3 +52,21 @@ def test_whole_table_against_articles(spark):
         article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1].replace("<br>", " ")
         parts = [" ".join(std.unescape(re.sub("<[^>]*>", "", p)).split()) for p in re.split(r"</?(?:p|h1)>", article)]
         assert got[r["page_id"]] == "\n\n".join(p for p in parts if p)
+
+
+def test_unnamed_page_keeps_all_of_its_part():
+    long, other = " ".join(["plain words of the story"] * 8), " ".join(["more words of it"] * 9)
+    head = "<h1>Head</h1><div class='by'>By A</div><div>1 May</div>"
+    want = ["Head", "By A", "1 May", "Dear all,", long, "Brief.", other]
+    for away in ("<aside><p>a</p><p>b</p><p>c</p><p>d</p></aside>", "<ul class='menu'><li>a<li>b<li>c<li>d</ul>", "<form><p>a</p><p>b</p><p>c</p></form>", "<div class='ad'><p>a</p><p>b</p><p>c</p></div>"):
+        body = f"<p>Dear all,</p><p>{long}</p>{away}<p>Brief.</p>{away}<p>{other}</p>"
+        assert html.main_text(PAGE.replace("{main}", f"<div class='content'>{head}{body}</div>")) == "\n\n".join(want)
+        assert html.main_text(PAGE.replace("{main}", f"<div class='post'>{head}<div class='text'>{body}</div></div>")) == "\n\n".join(want)
+        assert html.main_text(PAGE.replace("{main}", head + body)).split("\n\n")[-4:] == want[-4:]
+        parts = f"<div class='part'><h2>One</h2><p>{long}</p></div>{away}<div class='part'><h2>Two</h2><p>{other}</p></div>"
+        assert html.main_text(PAGE.replace("{main}", f"<div>{parts}</div>")) == f"One\n\n{long}\n\nTwo\n\n{other}"
+    verse = "".join(f"<p>line {i}</p>" for i in range(9))
+    assert html.main_text(PAGE.replace("{main}", f"<div>{verse}<p>{long}</p></div>")).startswith("line 0\n\nline 1\n\n")
+    # another part of the page stays away
+    teaser = f"<aside><p>a</p><p>b</p><p>c</p></aside><div class='teasers'><p>{other}</p><p>x</p></div>"
+    assert html.main_text(PAGE.replace("{main}", f"<div class='content'><p>{long}</p><p>End.</p></div>{teaser}")) == f"{long}\n\nEnd."
