@@ -40,12 +40,24 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Share of the greatest region's characters that the element holding it has at least.
 HELD = 0.8
 #: Words in class, id and role names that mark what is not main text.
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?:ads?|adsense|adbox|adslot|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|nav(?:bar|igation)?|menus?|breadcrumbs?|side-?bars?|footers?|site-?header|page-?header|mast-?head|"
-    r"comments?|comment-?list|respond|replies|discussion|disqus|cookies?|consent|gdpr|notices?|pop-?ups?|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations?)?|widgets?|pagination|pager|search|"
-    r"toolbar|skip-?link|copyright|complementary|contentinfo|search-?form|dialog|alert|alertdialog|toc)(?:$|[\s_-])",
-    re.I,
+_SURE_WORDS = (
+    r"ads?|adsense|adbox|adslot|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|nav(?:bar|igation)?|menus?|breadcrumbs?|side-?bars?|footers?|site-?header|page-?header|mast-?head|"
+    r"comments?|comment-?list|replies|disqus|cookies?|consent|gdpr|pop-?ups?|modal|newsletter|subscribe|subscription|pagination|pager|"
+    r"toolbar|skip-?link|copyright|complementary|contentinfo|search-?form|dialog|alertdialog|toc"
 )
+#: Such words that also name parts of texts. Inside a named main part they need a whole class or
+#: role name, or an element of links or form controls.
+_MAYBE_WORDS = r"discussion|related|search|share|sharing|social|alert|notices?|login|signup|respond|recommend(?:ed|ations?)?|widgets?"
+
+
+def _part(words: str) -> re.Pattern[str]:
+    return re.compile(rf"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?:{words})(?:$|[\s_-])", re.I)
+
+
+_SURE, _NAMES = _part(_SURE_WORDS), _part(f"{_SURE_WORDS}|{_MAYBE_WORDS}")
+_WHOLE = re.compile(rf"(?:^|\s)(?:{_MAYBE_WORDS})(?:$|\s)", re.I)
+#: Controls of forms.
+_CONTROLS = frozenset("form button select input textarea".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _SPACE = re.compile(r"\s+")
@@ -74,6 +86,19 @@ def lines(page: str, by_names: bool = True) -> list[Line]:
     return parse(page, by_names)[0]
 
 
+def _marked(name: str, attributes: dict[str, str], inside: bool) -> bool | None:
+    """Whether class, id and role names mark an element as not main text; None: if its content is like that.
+
+    `inside` a named main part. Ids of headings, and of sections there, are slugs of titles and mark nothing.
+    """
+    kinds = " ".join(attributes.get(k, "") for k in ("class", "role"))
+    slug = name in _HEADINGS or inside and (name == "section" or "section" in kinds.split())
+    marks = kinds if slug else kinds + " " + attributes.get("id", "")
+    if not marks.strip() or not _NAMES.search(marks):
+        return False
+    return True if not inside or _SURE.search(marks) or _WHOLE.search(kinds) else None
+
+
 def parse(page: str, by_names: bool = True) -> tuple[list[Line], list[Node]]:
     """The page's blocks in order, and its block elements. A tag cut off at the end is dropped; unknown tags are inline.
 
@@ -82,24 +107,48 @@ def parse(page: str, by_names: bool = True) -> tuple[list[Line], list[Node]]:
     out: list[Line] = []
     parts: list[str] = []
     nodes = [Node("", "", 0, 0)]
+    empty: list[tuple[int, int]] = []  # lines of elements found to be of links or controls
     stack: list[tuple[str, bool, bool, int]] = []  # element, away, main, innermost block element
-    away = main = 0
+    away = main = links = controls = 0
     at = 0
+    judged: list[tuple[int, int, int]] = []  # open elements whose content decides: place in the stack, first line, controls
+    linked: list[str] = []  # those of the parts that are links
+    sums = [(0, 0)]  # characters of lines so far that aren't away, and of links among them
 
     def flush() -> None:
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            text, link = (_SPACE.sub(" ", html.unescape("".join(x))).strip() for x in (parts, linked))
             parts.clear()
+            linked.clear()
             if text:
                 out.append(Line(text, away > 0, main > 0, stack[-1][3] if stack else 0))
+                sums.append((sums[-1][0] + len(text) * (away == 0), sums[-1][1] + len(link) * (away == 0)))
+
+    def close(i: int) -> None:
+        """Ends the open elements from place `i` on."""
+        nonlocal away, main, links
+        for name, a, k, _ in stack[i:]:
+            away -= a
+            main -= k
+            links -= name == "a"
+        del stack[i:]
+        while judged and judged[-1][0] >= i:
+            _, lo, before = judged.pop()
+            size, link = (sums[-1][k] - sums[lo][k] for k in (0, 1))
+            if 2 * link > size or controls > before and size < SURGE:
+                empty.append((lo, len(out)))
 
     while True:
         m = _TOKEN.search(page, at)
         if m is None:
             rest = page[at:]
             parts.append(rest if "<" not in rest else re.sub(r"</?[a-zA-Z][^>]*\Z", "", rest))
+            if links:
+                linked.append(parts[-1])
             break
         parts.append(page[at : m.start()])
+        if links:
+            linked.append(parts[-1])
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA[") and m[0].endswith("]]>"):
@@ -114,12 +163,10 @@ def parse(page: str, by_names: bool = True) -> tuple[list[Line], list[Node]]:
             # an end tag closes up to its element, if it is open and no sectioning element stands between
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for _, a, k, _ in stack[i:]:
-                        away -= a
-                        main -= k
-                    del stack[i:]
+                    close(i)
                     break
             continue
+        controls += name in _CONTROLS
         if name in _VOID or m[3].endswith("/") and name not in _BLOCK:
             continue
         if name in _RAW:
@@ -127,18 +174,15 @@ def parse(page: str, by_names: bool = True) -> tuple[list[Line], list[Node]]:
             at = end.end() if end else len(page)
             continue
         attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(m[3])}
-        marks = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
         is_main = name in _MAIN or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
         hidden = re.search(r"(?:^|\s)hidden(?:\s|$)", m[3]) is not None or "hidden" in attributes.get("style", "").lower() or "display:none" in attributes.get("style", "").lower().replace(" ", "") or attributes.get("aria-hidden") == "true"
-        is_away = name in _AWAY and not (name == "header" and main) or hidden or bool(by_names and marks.strip() and _NAMES.search(marks) and name not in ("html", "body") and not (is_main and name in _MAIN))
+        by_name = _marked(name, attributes, main > 0) if by_names and name not in ("html", "body") and not is_main else False
+        is_away = name in _AWAY and not (name == "header" and main) or hidden or by_name is True
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             # these close an open one of their kind; its marks go with it
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for _, a, k, _ in stack[i:]:
-                        away -= a
-                        main -= k
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in _BLOCK and stack[i][0] not in ("p",):
                     break
@@ -147,9 +191,18 @@ def parse(page: str, by_names: bool = True) -> tuple[list[Line], list[Node]]:
             nodes.append(Node(name, attributes.get("class", ""), node, len(nodes)))
             node = len(nodes) - 1
         stack.append((name, is_away, is_main, node))
+        links += name == "a"
+        if by_name is None and not is_away:
+            judged.append((len(stack) - 1, len(out), controls))
         away += is_away
         main += is_main
     flush()
+    close(0)
+    done = 0
+    for lo, hi in sorted(empty):
+        for x in out[max(lo, done) : hi]:
+            x.away = True
+        done = max(done, hi)
     for x in reversed(nodes):
         nodes[x.parent].last = max(nodes[x.parent].last, x.last)
     return out, nodes

@@ -70,3 +70,16 @@ def test_unnamed_page_keeps_all_of_its_part():
     # another part of the page stays away
     teaser = f"<aside><p>a</p><p>b</p><p>c</p></aside><div class='teasers'><p>{other}</p><p>x</p></div>"
     assert html.main_text(PAGE.replace("{main}", f"<div class='content'><p>{long}</p><p>End.</p></div>{teaser}")) == f"{long}\n\nEnd."
+
+
+def test_names_inside_a_named_part():
+    kept = (
+        "<section id='discussion'><h2>Discussion</h2><p>We discuss.</p></section><section id='comments'><p>On comments.</p></section><h2 id='related-work'>Related work</h2>"
+        "<h2 id='search-and-replace'>Search</h2><div class='section' id='menus'><p>On menus.</p></div><p class='share-price'>The price fell, says <a href='/r'>Reuters</a>.</p><div id='alert-levels'><p>Level 1</p></div>"
+    )
+    gone = "<div class='share-bar'><a href='/f'>F</a> <a href='/t'>T</a></div><ul class='related-posts'><li><a href='/1'>One</a><li><a href='/2'>Two</a></ul><div id='login-box'><p>Log in</p><input name='u'></div><div class='social'>Like us</div><div class='alert'>Old</div><div class='comments'><p>First!</p></div><div class='ad-slot'>Buy</div>"
+    want = "Discussion We discuss. On comments. Related work Search On menus. The price fell, says Reuters. Level 1"
+    for tag, end in (("<article>", "</article>"), ("<main>", ""), ("<div role='main' class='search-results'>", "</div>")):
+        assert html.main_text(PAGE.replace("{main}", f"{tag}{kept}{end}")).replace("\n\n", " ") == want
+        assert html.main_text(PAGE.replace("{main}", f"{tag}{gone}{kept}{gone}{end}")).replace("\n\n", " ") == want
+    assert html.main_text("<article><p>x</p><div class='related-links'><a>unclosed") == "x"
