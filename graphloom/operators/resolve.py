@@ -14,9 +14,12 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def canonical(df: DataFrame, group: list[str], key: str, alias: str = "canonical") -> DataFrame:
-    """Every row with the least `key` among the rows equal in `group`. One pass, nothing is merged again."""
-    least = df.groupBy(*group).agg(F.min(key).alias(alias))
-    return df.join(least, group)
+    """Every row with the least `key` among the rows equal in `group`, nulls being equal. One pass, nothing is merged again."""
+    least = df.groupBy(*[F.col(c).alias(f"_group_{c}") for c in group]).agg(F.min(key).alias(alias))
+    match: Column = F.lit(True)
+    for c in group:
+        match &= F.col(c).eqNullSafe(F.col(f"_group_{c}"))
+    return df.join(least, match).select(*df.columns, alias)
 
 
 def survivors(df: DataFrame, group: list[str], key: str) -> DataFrame:

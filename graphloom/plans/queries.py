@@ -90,7 +90,9 @@ def raw_after_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT doc_id, CAST(least(len(string_split(text, chr(10))), 4) AS BIGINT) AS kept, CAST(greatest(len(string_split(text, chr(10))) - 4, 0) AS BIGINT) AS overflow FROM documents""")
 def arity_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("slot", "value"))
+    # the SQL's least and greatest skip nulls: a null text fills all 4 slots
+    values = F.coalesce(F.split("text", "\n"), F.array_repeat(F.lit(""), 4))
+    slots = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(values).alias("slot", "value"))
     fits = F.col("slot") < 4
     return slots.groupBy("doc_id").agg(F.count(F.when(fits, 1)).alias("kept"), F.count(F.when(~fits, 1)).alias("overflow"))
 
