@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -154,14 +155,24 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return links
 
 
+def by_chance(expected: float) -> int:
+    """Equal 32-bit hashes of different members that `expected` ones exceed with probability 1e-6 at most."""
+    k = 0
+    # P(X > k) <= expected**(k + 1) / (k + 1)!
+    while expected > 0 and (k + 1) * math.log(expected) - math.lgamma(k + 2) > math.log(1e-6):
+        k += 1
+    return k
+
+
 def _compare(percent: int):
     """Links of each (key, i, j) group across components; groups come sorted and hold two blocks at most.
 
     A group's pairs pass, in this order: different components so far, no earlier band in common (that band's
-    group has them), sizes, signatures, and the count of common 32-bit hashes. The count can exceed the true
-    one by chance only, or fall one short; a pair that just misses is reported too, and all reported pairs
-    are verified on full sets afterwards. A pair that passes merges its components within the group, so the
-    group reports fewer links than it has members.
+    group has them), sizes, signatures, and the count of common 32-bit hashes. The count falls short of the true
+    one by no more than either set lost when cut to 32 bits; a pair that could reach `percent` with these is
+    reported, and all reported pairs are verified on full sets afterwards. The count can exceed the true one by
+    chance: a pair that passes without `by_chance` merges its components within the group, so the group
+    reports fewer links than it has members, but for pairs so near to `percent`.
     """
 
     def links(group, out: list) -> None:
@@ -192,10 +203,12 @@ def _compare(percent: int):
                 both = np.diff(np.cumsum(items[at][found] == joined)[ends - 1], prepend=0)
                 for k, n in zip(part, both, strict=True):
                     total = size[at] + size[k]
-                    if comp[k] == comp[at] or 100 * (n + 1) < percent * (total - n - 1):
+                    most = n + min(size[at] - items[at].size, size[k] - items[k].size)
+                    if comp[k] == comp[at] or 100 * most < percent * (total - most):
                         continue
                     out.append((names[at], names[k]) if names[at] < names[k] else (names[k], names[at]))
-                    if 100 * n >= percent * (total - n):
+                    sure = n - by_chance((size[at] - n) * (size[k] - n) / 2**32)
+                    if 100 * sure >= percent * (total - sure):
                         comp[comp == comp[k]] = comp[at]
 
     def run(batches: Iterator) -> Iterator:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from graphloom.llm import minhash
@@ -97,3 +98,38 @@ def test_shingles():
     assert s.distinct("ab c").size == 1 and s.distinct("a bc").tolist() != s.distinct("ab c").tolist()
     assert overlap(s.distinct("a b c d e f g"), s.distinct("x a b c d e f g")) == 3
     assert s.distinct("É b").tolist() != s.distinct("é b").tolist()  # only A-Z are lower-cased
+
+
+def _linked(sets, components):
+    """Pairs that one group of the hidden-link pass reports for 64-bit sets."""
+    import pyarrow as pa
+
+    n = len(sets)
+    columns = {
+        "key": pa.array([1] * n, pa.int64()),
+        "i": pa.array([0] * n, pa.int32()),
+        "j": pa.array([0] * n, pa.int32()),
+        "own": pa.array([0] * n, pa.int32()),
+        "band": pa.array([0] * n, pa.int32()),
+        "set_key": pa.array([f"s{k}" for k in range(n)]),
+        "component": pa.array(components),
+        "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
+        "bands": pa.array([list(range(minhash.BANDS))] * n, pa.list_(pa.int64())),
+        "signature": pa.array([b"x" * minhash.HASHES] * n, pa.binary()),
+        "items": pa.array([np.unique(np.array(x, np.uint64).astype(np.uint32)).tobytes() for x in sets], pa.binary()),
+    }
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    return {(r["a"], r["b"]) for out in minhash._compare(75)([batch]) for r in out.to_pylist()}
+
+
+def test_hashes_cut_to_32_bits():
+    # 858 of 1142 is just 75 %; four common members collide with others when cut
+    common = [*range(1, 855), *(k + (1 << 32) for k in range(1, 5))]
+    a, b = common + list(range(2000, 2142)), common + list(range(3000, 3142))
+    assert _linked([a, b], ["p", "q"]) == {("s0", "s1")}
+    # s0 and s1 have 857 members in common and one more by chance: they must not hide the link of s2 and s3
+    common = list(range(1, 858))
+    a, b = common + list(range(2000, 2143)), common + [2000 + (1 << 32), *range(3000, 3142)]
+    c, d = list(range(5000, 6000)), list(range(5001, 6001))
+    assert _linked([a, b, c, d], ["p", "q", "p", "q"]) >= {("s2", "s3")}
+    assert [minhash.by_chance(x) for x in (0, 1e-7, 1e-4, 0.01)] == [0, 0, 1, 2] and 100 < minhash.by_chance(100) < 400
