@@ -1,14 +1,15 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one a block of the page. Each line has a length; the sum over a sliding window of
-lines is the block distribution. Where it surges over a threshold the main text begins, where it dives to
-zero the text ends, and the lines between are kept.
-
-Markup is read for what it says before the distribution is asked: lines inside elements that are never main
-text (menus, headers, footers, sidebars, forms, scripts, reader comments, or such class, id or role names)
-have no length, and if the page names its main part (`article`, `main` or such a role), only lines inside it
-count. On other pages the greatest region tells the main part: the element that holds it. All other regions and
-short lines of that element stay, so an advert or menu inside it ends nothing, and so does the heading before it.
+lines is the block distribution. Where it surges over a threshold lies main text; it ends where it dives to zero
+on either side, and the lines between are kept. The distribution decides on every page.
+
+Markup only sets lengths: lines inside elements that are never main text (menus, headers, footers, sidebars,
+forms, scripts, reader comments, hidden ones, or such class, id or role names) have none. If the page names its
+main part (`article`, `main` or such a role), lines outside it have none either, and those inside have SURGE more,
+so that each of them surges, however short. On such pages every region is kept. On other pages the greatest
+region tells the main part: the element that holds it. All other regions and short lines of that element stay, so
+an advert or menu inside it ends nothing, and so does the heading before it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -45,8 +47,7 @@ _SURE_WORDS = (
     r"comments?|comment-?list|replies|disqus|cookies?|consent|gdpr|pop-?ups?|modal|newsletter|subscribe|subscription|pagination|pager|"
     r"toolbar|skip-?link|copyright|complementary|contentinfo|search-?form|dialog|alertdialog|toc"
 )
-#: Such words that also name parts of texts. Inside a named main part they need a whole class or
-#: role name, or an element of links or form controls.
+#: Such words that also name parts of texts.
 _MAYBE_WORDS = r"discussion|related|search|share|sharing|social|alert|notices?|login|signup|respond|recommend(?:ed|ations?)?|widgets?"
 
 
@@ -58,8 +59,11 @@ _SURE, _NAMES = _part(_SURE_WORDS), _part(f"{_SURE_WORDS}|{_MAYBE_WORDS}")
 _WHOLE = re.compile(rf"(?:^|\s)(?:{_MAYBE_WORDS})(?:$|\s)", re.I)
 #: Controls of forms.
 _CONTROLS = frozenset("form button select input textarea".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: A quoted value ends at a quote before white space, `/` or `>`; any other quote is a character of the tag.
+_QUOTED = r"=\s*+\"[^\"]*+\"(?=[\s/>])|=\s*+'[^']*+'(?=[\s/>])"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:{_QUOTED}|[^>])*+)(>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"(?=[\s/]|\Z)|'([^']*)'(?=[\s/]|\Z)|(\S*)))?")
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -81,34 +85,37 @@ class Node:
     last: int
 
 
-def lines(page: str, by_names: bool = True) -> list[Line]:
+def lines(page: str) -> list[Line]:
     """The lines of `parse`."""
-    return parse(page, by_names)[0]
+    return parse(page)[0]
 
 
 def _marked(name: str, attributes: dict[str, str], inside: bool) -> bool | None:
     """Whether class, id and role names mark an element as not main text; None: if its content is like that.
 
-    `inside` a named main part. Ids of headings, and of sections there, are slugs of titles and mark nothing.
+    Words that also name parts of texts mark an element as a whole class or role name, or if its content is of
+    links or controls. `inside` a named main part, ids of sections mark nothing, as those of headings anywhere:
+    they are slugs of titles.
     """
     kinds = " ".join(attributes.get(k, "") for k in ("class", "role"))
     slug = name in _HEADINGS or inside and (name == "section" or "section" in kinds.split())
     marks = kinds if slug else kinds + " " + attributes.get("id", "")
     if not marks.strip() or not _NAMES.search(marks):
         return False
-    return True if not inside or _SURE.search(marks) or _WHOLE.search(kinds) else None
+    return True if _SURE.search(marks) or _WHOLE.search(kinds) else None
 
 
-def parse(page: str, by_names: bool = True) -> tuple[list[Line], list[Node]]:
+def parse(page: str) -> tuple[list[Line], list[Node]]:
     """The page's blocks in order, and its block elements. A tag cut off at the end is dropped; unknown tags are inline.
 
-    Without `by_names`, class, id and role names mark nothing.
+    A named main part ends the marks that names, or a form, of the elements around it set.
     """
     out: list[Line] = []
     parts: list[str] = []
     nodes = [Node("", "", 0, 0)]
     empty: list[tuple[int, int]] = []  # lines of elements found to be of links or controls
-    stack: list[tuple[str, bool, bool, int]] = []  # element, away, main, innermost block element
+    stack: list[list] = []  # element, away, main, innermost block element, whether a main part may end the mark
+    opened: Counter[str] = Counter()  # open elements by name: tags that close nothing cost no search
     away = main = links = controls = 0
     at = 0
     judged: list[tuple[int, int, int]] = []  # open elements whose content decides: place in the stack, first line, controls
@@ -127,7 +134,8 @@ def parse(page: str, by_names: bool = True) -> tuple[list[Line], list[Node]]:
     def close(i: int) -> None:
         """Ends the open elements from place `i` on."""
         nonlocal away, main, links
-        for name, a, k, _ in stack[i:]:
+        for name, a, k, _, _ in stack[i:]:
+            opened[name] -= 1
             away -= a
             main -= k
             links -= name == "a"
@@ -161,7 +169,7 @@ def parse(page: str, by_names: bool = True) -> tuple[list[Line], list[Node]]:
             parts.append(" ")
         if m[1]:
             # an end tag closes up to its element, if it is open and no sectioning element stands between
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1 if opened[name] else -1, -1, -1):
                 if stack[i][0] == name:
                     close(i)
                     break
@@ -175,12 +183,12 @@ def parse(page: str, by_names: bool = True) -> tuple[list[Line], list[Node]]:
             continue
         attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(m[3])}
         is_main = name in _MAIN or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
-        hidden = re.search(r"(?:^|\s)hidden(?:\s|$)", m[3]) is not None or "hidden" in attributes.get("style", "").lower() or "display:none" in attributes.get("style", "").lower().replace(" ", "") or attributes.get("aria-hidden") == "true"
-        by_name = _marked(name, attributes, main > 0) if by_names and name not in ("html", "body") and not is_main else False
+        hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attributes.get("style", "")) is not None
+        by_name = _marked(name, attributes, main > 0) if name not in ("html", "body") and not is_main else False
         is_away = name in _AWAY and not (name == "header" and main) or hidden or by_name is True
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             # these close an open one of their kind; its marks go with it
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1 if opened[name] else -1, -1, -1):
                 if stack[i][0] == name:
                     close(i)
                     break
@@ -190,7 +198,13 @@ def parse(page: str, by_names: bool = True) -> tuple[list[Line], list[Node]]:
         if name in _BLOCK:
             nodes.append(Node(name, attributes.get("class", ""), node, len(nodes)))
             node = len(nodes) - 1
-        stack.append((name, is_away, is_main, node))
+        if is_main and not main and away:
+            for x in stack:
+                if x[1] and x[4]:
+                    x[1] = False
+                    away -= 1
+        opened[name] += 1
+        stack.append([name, is_away, is_main, node, is_away and not hidden and (by_name is True and name not in _AWAY or name == "form")])
         links += name == "a"
         if by_name is None and not is_away:
             judged.append((len(stack) - 1, len(out), controls))
@@ -208,6 +222,13 @@ def parse(page: str, by_names: bool = True) -> tuple[list[Line], list[Node]]:
     return out, nodes
 
 
+def lengths_of(found: list[Line], surge: int = SURGE) -> list[int]:
+    """Length of each line, as its marks set it."""
+    if any(x.main and not x.away for x in found):
+        return [len(x.text) + surge if x.main and not x.away else 0 for x in found]
+    return [0 if x.away else len(x.text) for x in found]
+
+
 def distribution(lengths: list[int], window: int = WINDOW) -> list[int]:
     """Sum of the lengths of each line and the `window` - 1 behind it."""
     return [sum(lengths[i : i + window]) for i in range(len(lengths))]
@@ -216,19 +237,22 @@ def distribution(lengths: list[int], window: int = WINDOW) -> list[int]:
 def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
     """First line of each region and the line behind its last, in order.
 
-    A region starts where the distribution surges over `surge` at a line with text, and ends where it dives
-    to zero: behind the last line with text before `window` empty ones.
+    A region holds a line with text at which the distribution surges over `surge`. It reaches to the points on
+    both sides where the distribution dives to zero: its ends are lines with text beyond which `window` lines,
+    or all there are, have none.
     """
     sums = distribution(lengths, window)
-    out, i, n = [], 0, len(lengths)
+    out: list[tuple[int, int]] = []
+    i, n = 0, len(lengths)
     while i < n:
-        if sums[i] < surge or not lengths[i]:
+        if not lengths[i]:
             i += 1
             continue
         j = i
-        while j < n and sums[j]:
+        while j < n and sums[j]:  # `sums` is zero where a gap of `window` lines begins
             j += 1
-        out.append((i, j))
+        if any(lengths[k] and sums[k] >= surge for k in range(i, j)):
+            out.append((i, j))
         i = j
     return out
 
@@ -275,23 +299,20 @@ def holder(found: list[Line], nodes: list[Node], spans: list[tuple[int, int]], l
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """Main text: blocks in page order joined by an empty line; empty for null and for pages without text."""
-    for by_names in (True, False):  # names on the page's outermost elements can mark all of it
-        text = _selected(*parse(page or "", by_names), window, surge)
-        if text:
-            return text
-    return ""
-
-
-def _selected(found: list[Line], nodes: list[Node], window: int, surge: int) -> str:
-    named = [x for x in found if x.main and not x.away]
-    if named:
-        # the page says where its text is: lines elsewhere have no length, and no gap ends the region
-        return "\n\n".join(x.text for x in named)
-    # a page without named parts: what is away stands as empty lines and ends regions
-    lengths = [0 if x.away else len(x.text) for x in found]
-    lo, hi = between(lengths, window, surge)
+    """Main text: blocks in page order joined by an empty line; empty for null and for pages without main text."""
+    found, nodes = parse(page or "")
+    lengths = lengths_of(found, surge)
     spans = regions(lengths, window, surge)
+    if any(x.main and not x.away for x in found):
+        kept = {k for lo, hi in spans for k in range(lo, hi)}
+    else:
+        kept = _held(found, nodes, lengths, spans, between(lengths, window, surge))
+    return "\n\n".join(x.text for k, x in enumerate(found) if k in kept and lengths[k])
+
+
+def _held(found: list[Line], nodes: list[Node], lengths: list[int], spans: list[tuple[int, int]], greatest: tuple[int, int]) -> set[int]:
+    """The lines of the greatest region and of the element that holds it."""
+    lo, hi = greatest
     kept = set(range(lo, hi))
     if spans:
         at = holder(found, nodes, spans, lo, hi)
@@ -309,7 +330,7 @@ def _selected(found: list[Line], nodes: list[Node], window: int, surge: int) ->
                 if nodes[found[k].node].name == "h1":
                     break
         kept.update(range(first, lo))
-    return "\n\n".join(x.text for k, x in enumerate(found) if k in kept and not x.away)
+    return kept
 
 
 def _in_part(node: int, of: int, nodes: list[Node]) -> bool:
@@ -322,7 +343,12 @@ def _in_part(node: int, of: int, nodes: list[Node]) -> bool:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of `pages` (page_id, url, html); n_chars counts code points."""
+    """(page_id, url, text, n_chars) for every row of `pages` (page_id, url, html); n_chars counts code points.
+
+    Null and empty html, and pages without main text, give an empty text and 0. Repeated rows give repeated
+    results, an empty table an empty one; null ids and addresses stay null, other columns aren't read. Of equally
+    great regions the first one counts.
+    """
 
     def compute(cols: dict[str, list]) -> dict[str, list]:
         texts = [main_text(h) for h in cols["html"]]
