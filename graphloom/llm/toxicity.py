@@ -1,14 +1,19 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fitting reads about EXAMPLES labelled documents, chosen by hash of the id and freed of copies. Terms are the
-words whose document frequencies differ between the labels (log-likelihood test); every other word would only
-add the noise of the topic. Each example is a TF-IDF vector over these terms, of length 1. The index keeps a
-term's postings by blocks of BLOCK examples with the greatest weight of each, so that whole blocks whose bound
-is under the k-th best similarity so far are skipped; the k neighbours are exact.
-
-A document's raw score is the vote of its K nearest examples, weighted by similarity and drawn to the rate of
-examples without any term. Raw scores are calibrated by isotonic regression on leave-one-out scores of the
-examples. The nearest examples are the evidence.
+Fitting reads about EXAMPLES labelled documents, chosen by hash of the id; equal texts count once. Every word of
+every example is a term, and every example with a word is in the index. A term's weight in a text is
+(1 + ln tf) * idf * telling, made to length 1. `telling` grows with the log-likelihood statistic of the term's
+rates under the two labels from FLOOR to 1: without it, a handful of telling words can't stand out among hundreds
+of topic words (the README has figures).
+
+The index keeps each term's postings in blocks of BLOCK examples with the greatest weight of each block. The
+bound of a block is the sum of the query's weights times these; blocks whose bound is under the k-th best
+similarity so far are skipped, so the k neighbours are exact (single precision). Postings of terms that occur in
+more than one of SPARSE examples are stored as whole rows, and their part of a block's bound is its true maximum.
+
+A document's raw score is the vote of its K nearest examples, weighted by similarity and drawn to the rate of all
+examples. Raw scores are calibrated by isotonic regression on leave-one-out votes of the examples, which
+executors cast. The nearest examples are the evidence.
 """
 
 from __future__ import annotations
@@ -19,21 +24,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_columns, unit_hash
-from graphloom.llm.minhash import minima
-from graphloom.llm.shingles import Shingler
+from graphloom.llm.common import drop_scratch, map_columns, materialize, small_batches, unit_hash
 
-EXAMPLES, TERMS, K, BLOCK = 12_000, 4096, 15, 64
-#: Least log-likelihood statistic of a term, least number of examples with it, and least ratio between its
-#: rates under the two labels: a common word of nearly equal rates tells nothing and has long postings.
-G2, LEAST_DF, RATIO = 15.0, 3, 4.0
-#: Weight of the rate of term-free examples in a vote; score from which a document counts as toxic.
+EXAMPLES, K, BLOCK, SPARSE = 8000, 15, 256, 16
+#: Blocks that are read first, for a good lower bound of the k-th similarity.
+SEEDS = 2
+#: Queries whose whole rows are read together.
+GROUP = 64
+#: Statistic at which a term has half its full weight, and the weight of a term that tells nothing.
+HALF, FLOOR = 30.0, 0.01
+#: Weight of the rate of all examples in a vote; score from which a document counts as toxic.
 SHRINK, THRESHOLD = 0.1, 0.3
 #: Neighbours returned as evidence.
 EVIDENCE = 3
+#: Similarities are single precision sums: bounds give way by this.
+SLACK = 1e-5
 
 _WORD = re.compile(r"\w+")
 
@@ -42,98 +51,170 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def g_squared(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
-    """Log-likelihood statistic of a of n against b of m documents with a term."""
+def g_squared(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.ndarray:
+    """Log-likelihood statistic of a of n against b of m documents with a term; 0 if either label is missing."""
     out = np.zeros(a.size)
+    if not n or not m:
+        return out
     share = (a + b) / (n + m)
     for seen, of in ((a, n), (b, m)):
         for k, p in ((seen, share), (of - seen, 1 - share)):
             with np.errstate(divide="ignore", invalid="ignore"):
                 out += np.where(k > 0, k * np.log(k / (of * p)), 0)
-    return 2 * out
+    return np.maximum(2 * out, 0)
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [lo, hi), one range behind the other."""
+    size = hi - lo
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if size.size else size
 
 
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors. Postings are ordered by example within a term."""
+    """Block-max inverted index of unit vectors; examples are numbered by their heaviest term, then by id."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    weight_of: np.ndarray  # idf * telling of each term
     ids: np.ndarray  # doc_id of each example
     labels: np.ndarray
-    start: np.ndarray  # first posting of each term
+    base_rate: float
+    rows: np.ndarray  # place of each term's whole row, -1: sparse postings
+    dense: np.ndarray  # whole rows, term x example
+    start: np.ndarray  # first entry (term, block) of each term
+    entry_block: np.ndarray
+    entry_max: np.ndarray
+    entry_start: np.ndarray  # first posting of each entry
     example: np.ndarray
     weight: np.ndarray
-    block_max: np.ndarray  # term x block
-    base_rate: float  # of examples without any term
     knots: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     @classmethod
-    def build(cls, vocabulary: list[str], bags: list[dict[str, int]], ids: list[int], labels: list[int]) -> Index:
-        place = {w: i for i, w in enumerate(vocabulary)}
-        df = np.zeros(len(vocabulary))
-        for bag in bags:
-            for w in bag:
-                df[place[w]] += 1
-        idf = np.log((len(bags) + 1) / (df + 1)) + 1
-        with_terms = [i for i, bag in enumerate(bags) if bag]
-        bare = [labels[i] for i, bag in enumerate(bags) if not bag]
-        rows = [cls._unit(bags[i], place, idf) for i in with_terms]
-        terms = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
-        example = np.repeat(np.arange(len(rows)), [t.size for t, _ in rows]) if rows else np.zeros(0, np.int64)
-        order = np.lexsort((example, terms))
-        terms, weight, example = terms[order], weight[order], example[order]
-        blocks = -(-len(rows) // BLOCK)
-        block_max = np.zeros((len(vocabulary), blocks))
-        np.maximum.at(block_max, (terms, example // BLOCK), weight)
-        start = np.searchsorted(terms, np.arange(len(vocabulary) + 1))
-        base = (sum(bare) + 0.5) / (len(bare) + 1) if bare else 0.0
-        out = cls(place, idf, np.array([ids[i] for i in with_terms], np.int64), np.array([labels[i] for i in with_terms], float), start, example, weight, block_max, base)
-        return out._calibrated(rows)
+    def build(cls, bags: list[dict[str, int]], ids: list[int], labels: list[int]) -> Index:
+        """Of bags of words; those without any are left out."""
+        full = [i for i, b in enumerate(bags) if b]
+        place: dict[str, int] = {}
+        terms = np.array([place.setdefault(w, len(place)) for i in full for w in bags[i]], np.int64)
+        tf = np.array([n for i in full for n in bags[i].values()], float)
+        return cls.of(list(place), terms, tf, np.array([len(bags[i]) for i in full], np.int64), np.array([ids[i] for i in full], np.int64), np.array([labels[i] for i in full], float))
+
+    @classmethod
+    def of(cls, vocabulary: list[str], terms: np.ndarray, tf: np.ndarray, sizes: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> Index:
+        """Of flat postings: the terms of the first example, then those of the second, by `sizes`."""
+        n, v = ids.size, len(vocabulary)
+        row = np.repeat(np.arange(n), sizes)
+        df, toxic = (np.bincount(terms, w, v) for w in (None, labels[row]))
+        g2 = g_squared(toxic, df - toxic, labels.sum(), n - labels.sum())
+        weight_of = (np.log((n + 1) / (df + 1)) + 1) * (FLOOR + g2 / (g2 + HALF))
+        weight = (1 + np.log(tf)) * weight_of[terms]
+        weight = weight / np.sqrt(np.bincount(row, weight**2, n))[row]
+        # examples by heaviest term: a block's members are alike, and its bounds tight
+        heavy = np.zeros(n, np.int64)
+        by_weight = np.lexsort((terms, -weight, row))
+        heavy[row[by_weight[::-1]]] = terms[by_weight[::-1]]
+        number = np.empty(n, np.int64)
+        order = np.lexsort((ids, heavy))
+        number[order] = np.arange(n)
+        ids, labels, example = ids[order], labels[order], number[row]
+        blocks = max(1, -(-n // BLOCK))
+        by_term = np.lexsort((example, terms))
+        terms, example, weight = terms[by_term], example[by_term], weight[by_term].astype(np.float32)
+        # whole rows of frequent terms
+        frequent = np.flatnonzero(df * SPARSE > n)
+        rows = np.full(v, -1, np.int64)
+        rows[frequent] = np.arange(frequent.size)
+        dense = np.zeros((frequent.size, n), np.float32)
+        whole = rows[terms] >= 0
+        dense[rows[terms[whole]], example[whole]] = weight[whole]
+        # postings of the others by (term, block)
+        terms, example, weight = terms[~whole], example[~whole], weight[~whole]
+        cell = terms * blocks + example // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if cell.size else np.zeros(0, np.int64)
+        entry_max = np.maximum.reduceat(weight, first) if first.size else np.zeros(0, np.float32)
+        return cls(
+            dict(zip(vocabulary, range(v), strict=True)), weight_of, ids, labels, float(labels.mean()) if n else 0.0, rows, dense,
+            np.searchsorted(terms[first], np.arange(v + 1)), cell[first] % blocks, entry_max, np.append(first, cell.size), example, weight,
+        )
+
+    def unit(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a bag of words and their weights, of length 1."""
+        known = [(t, n) for t, n in zip(map(self.vocabulary.get, counts), counts.values(), strict=True) if t is not None]
+        if not known:
+            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        terms, tf = np.array(known, np.int64).T
+        weight = (1 + np.log(tf)) * self.weight_of[terms]
+        return terms, (weight / np.sqrt((weight**2).sum())).astype(np.float32)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the k examples of greatest cosine above 0, and these.
+
+        Ties go to the first example. Examples of the id `without` are left out. Whole rows are read for all
+        queries of a group at once, a matrix product; then each query skips blocks by their bounds.
+        """
+        n, out = self.ids.size, []
+        for i in range(0, len(queries), GROUP):
+            group = queries[i : i + GROUP]
+            if not n:
+                out += [(np.zeros(0, np.int64), np.zeros(0))] * len(group)
+                continue
+            whole = np.zeros((len(group), self.dense.shape[0]), np.float32)
+            for q, (terms, weight) in zip(whole, group, strict=True):
+                rows = self.rows[terms]
+                q[rows[rows >= 0]] = weight[rows >= 0]
+            common = whole @ self.dense
+            tops = np.maximum.reduceat(common, np.arange(0, n, BLOCK), axis=1)
+            for j, (terms, weight) in enumerate(group):
+                rare = self.rows[terms] < 0
+                out.append(self._nearest(terms[rare], weight[rare], common[j], tops[j], k, None if without is None else without[i + j]))
+        return out
+
+    def _nearest(self, terms: np.ndarray, weight: np.ndarray, score: np.ndarray, tops: np.ndarray, k: int, without: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """`nearest` of one query's terms with postings; score holds the sums of the others, tops their block maxima."""
+        n, blocks = score.size, tops.size
+        lo, hi = self.start[terms], self.start[terms + 1]
+        entries, of = _ranges(lo, hi), np.repeat(weight, hi - lo)
+        block = self.entry_block[entries]
+        bound = tops + np.bincount(block, self.entry_max[entries] * of, blocks)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def read(chosen: np.ndarray) -> float:
+            """Reads the postings of the chosen blocks; the k-th best similarity so far."""
+            own = chosen[block]
+            lo, hi = self.entry_start[entries[own]], self.entry_start[entries[own] + 1]
+            at = _ranges(lo, hi)
+            sums = np.bincount(self.example[at], self.weight[at] * np.repeat(of[own], hi - lo), n)
+            members = _ranges(np.flatnonzero(chosen) * BLOCK, np.minimum((np.flatnonzero(chosen) + 1) * BLOCK, n))
+            values = score[members] + sums[members]
+            good = values > 0 if without is None else (values > 0) & (self.ids[members] != without)
+            found.append((members[good], values[good]))
+            seen = np.concatenate([v for _, v in found])
+            return float(np.partition(seen, seen.size - k)[seen.size - k]) if seen.size > k else 0.0
+
+        done = np.zeros(blocks, bool)
+        done[np.argpartition(-bound, SEEDS - 1)[:SEEDS] if blocks > SEEDS else slice(None)] = True
+        left = ~done & (bound >= read(done) - SLACK) & (bound > 0)
+        if left.any():
+            read(left)
+        members, values = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        order = np.lexsort((members, -values))[:k] if values.size <= 4 * k else self._first(members, values, k)
+        return members[order], values[order]
 
     @staticmethod
-    def _unit(bag: dict[str, int], place: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(place[w] for w in bag), np.int64)
-        names = {place[w]: n for w, n in bag.items()}
-        weight = (1 + np.log([names[t] for t in terms])) * idf[terms]
-        return terms, weight / np.sqrt((weight**2).sum())
-
-    def bag(self, text: str | None) -> dict[str, int]:
-        return Counter(w for w in words(text) if w in self.vocabulary)
-
-    def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0 and these; ties go to the first example. Exact."""
-        bound = weight @ self.block_max[terms]
-        order = np.argsort(-bound, kind="stable")
-        best, least = [], 0.0
-        for block in order:
-            if bound[block] <= 0 or len(best) >= k and bound[block] < least:
-                break
-            lo, score = block * BLOCK, np.zeros(BLOCK)
-            for t, w in zip(terms, weight, strict=True):
-                own = self.example[self.start[t] : self.start[t + 1]]
-                i, j = np.searchsorted(own, (lo, lo + BLOCK))
-                score[own[i:j] - lo] += w * self.weight[self.start[t] + i : self.start[t] + j]
-            best += [(-score[x], lo + x) for x in np.flatnonzero(score > 0) if lo + x != without]
-            if len(best) > k:
-                best = sorted(best)[:k]
-            if len(best) == k:
-                least = -max(best)[0] - 1e-12
-        best.sort()
-        return np.array([x for _, x in best], np.int64), np.array([-s for s, _ in best])
+    def _first(members: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+        """Places of the k greatest values, ties by member."""
+        near = np.flatnonzero(values >= np.partition(values, values.size - k)[values.size - k])
+        return near[np.lexsort((members[near], -values[near]))][:k]
 
     def vote(self, near: np.ndarray, similarity: np.ndarray) -> float:
         return float(((similarity * self.labels[near]).sum() + SHRINK * self.base_rate) / (similarity.sum() + SHRINK))
 
-    def _calibrated(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-        """Pool-adjacent-violators on leave-one-out votes; neighbours of equal value share a mean."""
-        votes = np.array([self.vote(*self.nearest(*row, without=i)) for i, row in enumerate(rows)])
-        if len(set(self.labels)) < 2:
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> Index:
+        """Pool-adjacent-violators on leave-one-out votes; votes of equal value share a mean."""
+        if len(set(labels)) < 2:
             return self
         at, inverse = np.unique(np.round(votes, 3), return_inverse=True)
-        n, hits = np.bincount(inverse), np.bincount(inverse, self.labels)
-        pools: list[list[float]] = []  # value, hits, rows, knots
+        n, hits = np.bincount(inverse), np.bincount(inverse, labels)
+        pools: list[list] = []  # hits, rows, values
         for value, h, m in zip(at, hits, n, strict=True):
             pools.append([h, m, [value]])
             while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
@@ -144,88 +225,79 @@ class Index:
         self.knots = (np.array([0.0, *x]), np.maximum.accumulate(np.array([min(self.base_rate, y[0]), *y])))
         return self
 
-    def score(self, bag: dict[str, int]) -> tuple[float, list[tuple[int, int, float]]]:
-        """Calibrated score and evidence (doc_id, label, similarity) of a bag of terms."""
-        if not bag or not self.ids.size:
-            return float(self.base_rate), []
-        near, similarity = self.nearest(*self._unit(bag, self.vocabulary, self.idf))
-        value = float(np.interp(self.vote(near, similarity), *self.knots))
-        return min(1.0, max(0.0, value)), [(int(self.ids[i]), int(self.labels[i]), float(s)) for i, s in zip(near[:EVIDENCE], similarity, strict=False)]
+    def score(self, bags: list[dict[str, int]]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """Calibrated score and evidence (doc_id, label, similarity) of each bag of words."""
+        out = []
+        for near, similarity in self.nearest([self.unit(b) for b in bags]):
+            value = float(np.interp(self.vote(near, similarity), *self.knots)) if near.size else self.base_rate
+            evidence = [(int(self.ids[i]), int(self.labels[i]), float(s)) for i, s in zip(near[:EVIDENCE], similarity, strict=False)]
+            out.append((min(1.0, max(0.0, value)), evidence))
+        return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
-    """Index of about `examples` rows of `labels` (doc_id, toxic 0/1) with their texts in `docs`.
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Broadcast[Index]:
+    """Index of about `examples` rows of `labels` (doc_id, toxic 0/1) with their texts in `docs`, sent to executors.
 
-    Copies, and near copies that share one of two shingle minima, count once: the least id stays. A document
-    with several labels is toxic if one says so. The index is bounded by `examples` and `terms`.
+    Rows with a null doc_id or other labels are left out, as are ids without a text or a word. A document with
+    several labels, or equal texts with several, are toxic if one label says so; the least id stands for equal
+    texts. Empty tables give an index without examples. Other columns aren't read. The size is bounded by the
+    words of `examples` texts.
     """
+    spark = docs.sparkSession
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = marked.count()
     few = marked.where(unit_hash("doc_id", seed=2) < examples / max(n, 1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
-
-    def minima_of(cols: dict[str, list]) -> dict[str, list]:
-        shingler = Shingler(5)
-        found = [minima(shingler.distinct(t), 2) if t else np.zeros(2, np.uint64) for t in cols["text"]]
-        return {"one": [int(x[0] >> np.uint64(1)) for x in found], "two": [int(x[1] >> np.uint64(1)) for x in found]}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(few), "doc_id")
+    single = rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
 
-    hashed = map_columns(rows, minima_of, "one long, two long", ("doc_id", "text", "toxic"))
-    first = hashed.groupBy("one").agg(F.min_by(F.struct("doc_id", "text", "toxic", "two"), "doc_id").alias("x")).select("x.*")
-    single = first.groupBy("two").agg(F.min_by(F.struct("doc_id", "text", "toxic"), "doc_id").alias("x")).select("x.*").cache()
-
-    def distinct_words(batches: Iterator) -> Iterator:
+    def bags(cols: dict[str, list]) -> dict[str, list]:
+        found = [Counter(words(t)) for t in cols["text"]]
+        return {"words": [list(b) for b in found], "counts": [list(b.values()) for b in found]}
+
+    made = map_columns(single, bags, "words array<string>, counts array<int>", ("doc_id", "toxic"))
+    made = materialize(made.where(F.size("words") > 0), "examples")
+    local = made.orderBy("doc_id", "toxic").toArrow()
+    flat = local.column("words").combine_chunks().flatten().dictionary_encode()
+    index = Index.of(
+        flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64), local.column("counts").combine_chunks().flatten().to_numpy().astype(float),
+        local.column("counts").combine_chunks().value_lengths().to_numpy().astype(np.int64), local.column("doc_id").to_numpy(), local.column("toxic").to_numpy().astype(float),
+    )
+    sent = spark.sparkContext.broadcast(index)
+    small_batches(spark)
+
+    def votes(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        index = sent.value
         for batch in batches:
-            seen = (Counter(), Counter())
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[toxic].update(set(words(text)))
-            both = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([seen[k][w] for w in both], pa.int64()) for k in (0, 1))], ["word", "clean", "toxic"])
-
-    counts = single.select("text", "toxic").mapInArrow(distinct_words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    totals = {r["toxic"]: r["count"] for r in single.groupBy("toxic").count().collect()}
-    n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
-    # the statistic again in SQL, so that only telling terms reach the driver
-    share = (F.col("clean") + F.col("toxic")) / (n_clean + n_toxic or 1)
-    part = lambda k, of, p: F.when(F.lit(0) < k, k * F.log(k / (of * p))).otherwise(0.0)
-    g2 = 2 * sum((part(F.col(c), m, share) + part(m - F.col(c), m, 1 - share) for c, m in (("clean", n_clean), ("toxic", n_toxic))), F.lit(0.0))
-    rate = [F.col("clean") / max(n_clean, 1), F.col("toxic") / max(n_toxic, 1)]
-    telling = F.greatest(*rate) >= RATIO * F.least(*rate)
-    chosen = counts.where(F.col("clean") + F.col("toxic") >= LEAST_DF).withColumn("g2", g2).where((F.col("g2") >= G2) & telling).orderBy(F.desc("g2"), "word").limit(terms)
-    vocabulary = sorted(r["word"] for r in chosen.collect()) if n_clean and n_toxic else []
-
-    known = set(vocabulary)
+            ids, own, counts = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            queries = [index.unit(dict(zip(w, c, strict=True))) for w, c in zip(own, counts, strict=True)]
+            cast = [index.vote(*x) for x in index.nearest(queries, without=ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(cast, pa.float64()), batch.column(1)], ["vote", "toxic"])
 
-    def bags(cols: dict[str, list]) -> dict[str, list]:
-        return {"bag": [Counter(w for w in words(t) if w in known) for t in cols["text"]]}
-
-    made = map_columns(single, bags, "bag map<string,int>", ("doc_id", "toxic")).collect()
-    single.unpersist()
-    made.sort(key=lambda r: r["doc_id"])
-    return Index.build(vocabulary, [dict(r["bag"]) for r in made], [r["doc_id"] for r in made], [r["toxic"] for r in made])
+    # at most `examples` pairs of numbers
+    cast = made.select("doc_id", "toxic", "words", "counts").repartition(spark.sparkContext.defaultParallelism).mapInArrow(votes, "vote double, toxic int").toArrow()
+    index.calibrate(cast.column("vote").to_numpy(), cast.column("toxic").to_numpy().astype(float))
+    drop_scratch(made)
+    sent.unpersist()
+    return spark.sparkContext.broadcast(index)
 
 
-def score(docs: DataFrame, index: Index) -> DataFrame:
-    """(doc_id, score, predicted, evidence) for every row of `docs` (doc_id, text).
+def score(docs: DataFrame, fitted: Broadcast[Index]) -> DataFrame:
+    """(doc_id, score, predicted, evidence) for every row of `docs` (doc_id, text); other columns aren't read.
 
-    score is 0 to 1, predicted 1 from THRESHOLD on, evidence the nearest examples (doc_id, toxic, similarity).
-    Null texts, empty ones and those without any term score the rate of examples without terms.
+    score is 0 to 1, predicted 1 from THRESHOLD on, evidence the nearest examples (doc_id, toxic, similarity), ties
+    by their order in the index. Null texts, empty ones and those without any word of an example score the rate
+    of toxic examples, without evidence. Repeated rows and equal texts get equal results.
     """
 
     def compute(cols: dict[str, list]) -> dict[str, list]:
-        kept: dict[frozenset, tuple] = {}
-        out: dict[str, list] = {"score": [], "predicted": [], "evidence": []}
-        for text in cols["text"]:
-            bag = index.bag(text)
-            key = frozenset(bag.items())
-            if key not in kept:
-                kept[key] = index.score(bag)
-            value, evidence = kept[key]
-            out["score"].append(value)
-            out["predicted"].append(int(value >= THRESHOLD))
-            out["evidence"].append([{"doc_id": d, "toxic": y, "similarity": s} for d, y, s in evidence])
-        return out
+        index = fitted.value
+        place: dict[str, int] = {}
+        of = [place.setdefault(t or "", len(place)) for t in cols["text"]]  # equal texts are scored once
+        found = index.score([Counter(words(t)) for t in place])
+        evidence = [[{"doc_id": d, "toxic": y, "similarity": s} for d, y, s in e] for _, e in found]
+        return {"score": [found[i][0] for i in of], "predicted": [int(found[i][0] >= THRESHOLD) for i in of], "evidence": [evidence[i] for i in of]}
 
     added = "score double, predicted int, evidence array<struct<doc_id:bigint,toxic:int,similarity:double>>"
     return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), compute, added, ("doc_id",))
