@@ -5,9 +5,9 @@ Words and word pairs are hashed into BUCKETS buckets. Two bag models over the bu
 importance weight p_target / p_raw. Gumbel noise by hash of the id is added, and the k documents of greatest sum
 are the sample: Gumbel top-k draws without replacement in proportion to the weights.
 
-k is the number of documents whose weight favours the target, by a margin per n-gram that separates the
-labelled rows best. The raw model counts all documents; the target model and the margin are fitted on about
-SAMPLE labelled rows, chosen by hash of the id.
+k is the number of documents with words times the share of good ones among the labelled rows, ERRORS standard
+errors above the estimate: what the estimate leaves open goes in favour of keeping. The raw model counts all
+documents; the target model and the share are taken from about SAMPLE labelled rows, chosen by hash of the id.
 """
 
 from __future__ import annotations
@@ -23,10 +23,8 @@ from graphloom.llm.common import map_columns, materialize, unit_hash
 from graphloom.llm.shingles import Shingler
 
 BUCKETS, SAMPLE = 10_000, 20_000
-#: Weights are raised to 1 / TEMPERATURE: the lower, the less the noise moves documents near the margin.
-TEMPERATURE = 0.05
-#: Rejecting a good document weighs as much as keeping so many bad ones.
-GOOD_COST = 20.0
+#: Standard errors by which k is raised over the estimated number of good documents.
+ERRORS = 3.0
 #: Tasks among which the tasks' count vectors are summed before the driver sums theirs.
 SLOTS = 64
 
@@ -88,26 +86,12 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return p[0] - p[1]
 
 
-def best_margin(means: np.ndarray, good: np.ndarray, cost: float = GOOD_COST) -> float:
-    """Cut of the mean log ratio that serves labelled rows best; the middle of its gap.
-
-    It maximises the share of bad rows below it less `cost` times the share of good rows below it.
-
-    Without rows of both labels there is nothing to separate: every row is on the good side.
-    """
-    if good.all() or not good.any():
-        return -np.inf
-    order = np.argsort(means, kind="stable")
-    means, good = means[order], good[order]
-    bad_below = np.concatenate([[0], np.cumsum(~good)]) / (~good).sum()
-    good_below = np.concatenate([[0], np.cumsum(good)]) / good.sum()
-    new = np.concatenate([[True], means[1:] > means[:-1], [True]])
-    quality = np.where(new, bad_below - cost * good_below, -np.inf)
-    best = np.flatnonzero(quality == quality.max())
-    i = int(best[0])
-    if i == 0:
-        return float(means[0]) - 1e-9
-    return float(means[i - 1] + means[min(i, means.size - 1)]) / 2
+def upper_share(good: int, n: int, errors: float = ERRORS) -> float:
+    """Upper bound of the share of which `good` of `n` is a sample (score interval); 1 without a sample."""
+    if not n:
+        return 1.0
+    z, p = errors * errors, good / n
+    return min(1.0, (p + z / (2 * n) + errors * np.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n))
 
 
 def _kth_largest(keys: DataFrame, key: str, k: int) -> int | None:
@@ -130,19 +114,15 @@ def _kth_largest(keys: DataFrame, key: str, k: int) -> int | None:
 
 @dataclass
 class Model:
-    """Log ratios of the buckets, the margin per n-gram and the least key that is kept (None: keep none)."""
+    """Log ratios of the buckets, k, and the k-th largest key (None: without labels of both values, all are kept)."""
 
     ratios: np.ndarray
-    margin: float
+    k: int = 0
     least: int | None = None
     seed: int = 6
 
-    @property
-    def separates(self) -> bool:
-        return bool(np.isfinite(self.margin))
-
-    def score(self, docs: DataFrame, keep: tuple[str, ...], count: str = "n_features", total: str = "total") -> DataFrame:
-        """Columns `keep` with the number of features and the sum of log ratios (null without features)."""
+    def score(self, docs: DataFrame, keep: tuple[str, ...], count: str = "n_features", total: str = "log_weight") -> DataFrame:
+        """Columns `keep` with the number of features and the log of the importance weight (null without features)."""
         ratios = self.ratios
 
         def compute(cols: dict[str, list]) -> dict[str, list]:
@@ -152,18 +132,13 @@ class Model:
 
         return map_columns(docs, compute, f"`{count}` long, `{total}` double", keep)
 
-    def weight(self, count: str = "n_features", total: str = "total") -> Column:
-        return F.col(total) - F.lit(self.margin if self.separates else 0.0) * F.col(count)
-
-    def key(self, doc_id: str = "doc_id", count: str = "n_features", total: str = "total") -> Column:
-        """Tempered log weight with Gumbel noise, as a whole number of millionths."""
+    def key(self, doc_id: str = "doc_id", total: str = "log_weight") -> Column:
+        """Log weight with Gumbel noise, as a whole number of millionths."""
         gumbel = -F.log(-F.log(unit_hash(doc_id, seed=self.seed + 1)))
-        return F.floor((self.weight(count, total) / TEMPERATURE + gumbel) * 1e6)
+        return F.floor((F.col(total) + gumbel) * 1e6)
 
     def kept(self, key: Column, count: str = "n_features") -> Column:
-        if not self.separates:
-            return F.col(count) > 0
-        return F.coalesce(key >= F.lit(self.least), F.lit(False)) if self.least is not None else F.lit(False)
+        return F.coalesce(key >= F.lit(self.least), F.lit(False)) if self.least is not None else F.col(count) > 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 6) -> tuple[Model, DataFrame]:
@@ -178,25 +153,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 6)
     # about `sample` rows of two numbers: safe to send to every task
     few = marked.where(unit_hash("label_id", seed=seed) < sample / max(n, 1))
     labelled = rows.join(F.broadcast(few), F.col("doc_id") == F.col("label_id"), "left").drop("label_id")
-    model = Model(log_ratios(*count_models(labelled.select("text", (F.col("quality") == 1).alias("target")))), -np.inf, None, seed)
+    model = Model(log_ratios(*count_models(labelled.select("text", (F.col("quality") == 1).alias("target")))), seed=seed)
     scored = materialize(model.score(labelled, ("doc_id", "quality")), "weights")
-    sampled = scored.where("quality is not null and n_features > 0").select(F.col("total") / F.col("n_features"), "quality").collect()
-    if sampled:
-        model.margin = best_margin(np.array([r[0] for r in sampled]), np.array([r[1] == 1 for r in sampled]))
-    keyed = scored.select("doc_id", "n_features", model.weight().alias("log_weight"), model.key().alias("key"))
-    if model.separates:
+    keyed = scored.select("doc_id", "n_features", "log_weight", model.key().alias("key"))
+    sampled = scored.where("quality is not null and n_features > 0").agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
+    if 0 < sampled[1] < sampled[0]:
         valid = keyed.where("key is not null")
-        model.least = _kth_largest(valid, "key", valid.where("log_weight >= 0").count())
+        model.k = int(np.ceil(valid.count() * upper_share(int(sampled[1]), int(sampled[0]))))
+        model.least = _kth_largest(valid, "key", model.k)
     return model, keyed
 
 
 def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 6) -> DataFrame:
-    """(doc_id, n_features, log_weight, kept) for every row of `docs` (doc_id, text).
+    """(doc_id, n_features, log_weight, kept) for every row of `docs` (doc_id, text); other columns aren't read.
 
-    log_weight is the sum of log ratios less the fitted margin per n-gram; kept tells whether the Gumbel top-k
-    took the row. Null texts and texts without words have no features, a null log_weight and are never kept.
-    Without labels of both values every row with words is kept. Rows whose key equals the k-th are all kept,
-    so equal rows share their result. Reruns give the same rows.
+    log_weight is the sum of the n-grams' log p_target / p_raw; kept tells whether the Gumbel top-k took the row.
+    Null texts and texts without words have no features, a null log_weight and are never kept. Without labels
+    of both values there is nothing to prefer: every row with words is kept. Rows whose key equals the k-th
+    are all kept, so repeated rows share their result. Null ids draw one noise. Empty tables give empty ones.
+    Reruns give the same rows.
     """
     model, keyed = fit(docs, labels, sample, seed)
     return keyed.select("doc_id", "n_features", "log_weight", model.kept(F.col("key")).alias("kept"))
@@ -207,4 +182,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: in
     model, _ = fit(docs, labels, sample, seed)
     count, total = "__graphloom_n", "__graphloom_total"
     scored = model.score(docs, tuple(docs.columns), count, total)
-    return scored.where(model.kept(model.key("doc_id", count, total), count)).select(*docs.columns)
+    return scored.where(model.kept(model.key("doc_id", total), count)).select(*docs.columns)
