@@ -97,7 +97,33 @@ _OP7 = r"""
     m AS (SELECT doc, min(seen) AS component_id FROM r GROUP BY doc)
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.doc = d.doc_id"""
 
+#: Chains by index of the content words; texts and edited texts side by side.
+_OP8 = r"""
+    WITH o AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, row_number() OVER (ORDER BY doc_id, text) AS pos, count(*) OVER () AS total FROM documents),
+    p AS (SELECT a.doc_id, a.pos, a.n, a.pos % a.total + 1 AS after, a.text, substr(a.text, 1, a.n - a.n // 2) || substr(b.text, 1, a.n // 2) AS edited FROM o a JOIN o b ON b.pos = a.pos % a.total + 1),
+    x AS (SELECT pos, false AS is_edited, text FROM p UNION ALL SELECT pos, true, edited FROM p),
+    w AS (SELECT pos, is_edited, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM x),
+    c AS (SELECT *, list_filter(ws, lambda w: NOT list_contains([{common}], w)) AS content, list_filter(list_transform(ws, lambda w, i: CASE WHEN list_contains([{common}], w) THEN i - 1 END), lambda i: i IS NOT NULL) AS anchors FROM w),
+    f AS (SELECT *, list_sort(list_distinct(list_filter(list_transform(anchors, lambda i, a: CASE WHEN i - a + 3 <= len(content) THEN ws[i + 1] || ' ' || content[i - a + 2] || ' ' || content[i - a + 3] END), lambda s: s IS NOT NULL))) AS main,
+        list_sort(list_distinct(list_filter(list_concat([CASE WHEN len(content) >= 2 THEN '^ ' || content[1] || ' ' || content[2] END], list_transform(content, lambda w, i: CASE WHEN md5(w) < '2' AND i + 2 <= len(content) THEN w || ' ' || content[i + 1] || ' ' || content[i + 2] END)), lambda s: s IS NOT NULL))) AS hashed FROM c),
+    g AS (SELECT pos, is_edited, CASE WHEN len(main) > 0 THEN main WHEN len(hashed) > 0 THEN hashed WHEN len(ws) > 0 THEN ['^^ ' || array_to_string(ws, ' ')] ELSE [] END AS sigs FROM f),
+    r AS (SELECT p.doc_id, p.n, p.edited, a.sigs AS a, e.sigs AS e, b.sigs AS b FROM p JOIN g a ON a.pos = p.pos AND NOT a.is_edited JOIN g e ON e.pos = p.pos AND e.is_edited JOIN g b ON b.pos = p.after AND NOT b.is_edited)
+    SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, len(a) || '-' || sha256(array_to_string(a, ',')) AS fingerprint, len(e) || '-' || sha256(array_to_string(e, ',')) AS edited_fingerprint,
+        {near_e}::DOUBLE AS near_edited, {near_b}::DOUBLE AS near_next FROM r"""
+
+
+def _near_sql(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    apart = f"least(len({a}), len({b})) < {spotsigs.LEAST} * greatest(len({a}), len({b}))"
+    return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1 WHEN len({a}) = 0 OR len({b}) = 0 OR {apart} THEN 0 ELSE {both} / (len({a}) + len({b}) - {both}) END"
+
+
+def _op8() -> str:
+    common = ", ".join(f"'{w}'" for w in sorted(set(spotsigs.ANCHORS)))
+    return _OP8.replace("{common}", common).replace("{near_e}", _near_sql("a", "e")).replace("{near_b}", _near_sql("a", "b"))
+
 
 def oracle_sql() -> dict[str, str]:
-    """SQL where it can express the operator: models, digests of images, dynamic programs and xxhash it can't."""
-    return {"op4_mixing": " ".join(_OP4.split()), "op7_minhash": " ".join(_OP7.split())}
+    """SQL where it can express the operator: fitted models, digests of images and dynamic programs it can't."""
+    found = {"op4_mixing": _OP4, "op7_minhash": _OP7, "op8_spotsigs": _op8()}
+    return {name: " ".join(sql.split()) for name, sql in found.items()}

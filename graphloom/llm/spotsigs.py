@@ -1,12 +1,12 @@
 """SpotSigs document fingerprints in DataFrame operations alone.
 
-A signature is an anchor, a very common word, with the chain of the next CHAIN content words behind it;
-common words inside the chain are skipped. The set of a text's signatures is its fingerprint. Two texts are
-compared by Jaccard similarity; sets whose sizes differ too much can't reach a threshold and are never
-compared: sets are dealt into length partitions and only neighbouring partitions meet.
+A signature is an anchor, a very common word, with the chain of the next CHAIN content words behind it, however far
+off; common words inside the chain are skipped. The set of a text's signatures is its fingerprint. Two texts are
+compared by Jaccard similarity. Sets belong to length partitions whose bounds grow by 1 / least, so sets of
+partitions that aren't neighbours can't reach the similarity `least` and are never compared.
 
-Besides common words, the start of a text is an anchor, and so is one word in 2**3 by hash: texts that hold no
-common word (lists, tables, other languages) keep a fingerprint by that.
+A text without a full chain behind a common word (lists, tables, other languages) has other anchors: its start, and
+one word in eight by hash. If no chain follows these either, the whole text is the only signature.
 
 Defined results: null texts count as empty; a text without words has an empty fingerprint, whose likeness to
 any set is 0, but 1 to another empty one. Equal texts have equal fingerprints.
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize
 
-#: Content words of a chain, and words behind the anchor among which they are sought.
-CHAIN, REACH = 2, 8
+#: Content words of a chain; likeness under which pairs are pruned by length.
+CHAIN, LEAST = 2, 0.1
 #: Anchors, the commonest words of four languages.
 ANCHORS = (
     "a an and are as at be by for from has have he her his i in is it its of on or she so that the their there they this to was we were with you "
@@ -37,92 +37,124 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def signatures(text: Column, chain: int = CHAIN, reach: int = REACH) -> Column:
-    """Sorted distinct 64-bit signatures of a text (null: none)."""
-    own = words(F.coalesce(text, F.lit("")))
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is made once: a one-element array binds it to a name."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def signatures(text: Column, chain: int = CHAIN) -> Column:
+    """Sorted distinct signatures of a text, words joined by blanks (null: none).
+
+    The i-th word of a text, if it is its a-th anchor, has i - a content words before it (all counted from 0): the
+    chain is found by index, in time linear in the text.
+    """
     common = sorted(set(ANCHORS))
 
-    def chains(ws: Column) -> Column:
-        def behind(i: Column, anchor: Column) -> Column:
-            content = F.slice(F.filter(F.slice(ws, i + 1, reach), lambda w: ~w.isin(*common)), 1, chain)
-            return F.when(F.size(content) == chain, F.xxhash64(anchor, content))
+    def joined(anchor: Column, content: Column, at: Column) -> Column:
+        return F.when(at + chain <= F.size(content), F.concat_ws(" ", anchor, *(F.get(content, at + k) for k in range(chain))))
+
+    def found(sigs: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.filter(sigs, lambda s: s.isNotNull())))
 
-        # positions count from 1; 0 is the start of the text
-        at = F.filter(F.sequence(F.lit(0), F.size(ws)), lambda i: (i == 0) | F.get(ws, i - 1).isin(*common) | (F.xxhash64(F.get(ws, i - 1)).bitwiseAND(F.lit(7)) == 0))
-        sigs = F.transform(at, lambda i: behind(i, F.when(i == 0, F.lit("^")).otherwise(F.get(ws, i - 1))))
-        whole = F.when(F.size(ws) > 0, F.array(F.xxhash64(F.lit("^^"), ws)))
-        found = F.array_sort(F.array_distinct(F.filter(sigs, lambda s: s.isNotNull())))
-        # texts too short for any chain are their own signature
-        return F.when(F.size(found) > 0, found).otherwise(F.coalesce(whole, F.array().cast("array<bigint>")))
+    def behind_common(ws: Column, content: Column) -> Column:
+        at = F.filter(F.transform(ws, lambda w, i: F.when(w.isin(*common), i)), lambda i: i.isNotNull())
+        return found(F.transform(at, lambda i, a: joined(F.get(ws, i), content, i - a)))
 
-    # the words are made once: a one-element array binds them to a name
-    return F.element_at(F.transform(F.array(own), chains), 1)
+    def behind_hashed(ws: Column, content: Column) -> Column:
+        hashed = F.transform(content, lambda w, i: F.when(F.md5(w) < "2", joined(w, content, i + 1)))
+        return _let(
+            found(F.concat(F.array(joined(F.lit("^"), content, F.lit(0))), hashed)),
+            lambda sigs: F.when(F.size(sigs) > 0, sigs).otherwise(F.filter(F.array(F.concat_ws(" ", F.lit("^^"), ws)), lambda _: F.size(ws) > 0)),
+        )
+
+    def of(x: Column) -> Column:
+        return _let(behind_common(x["ws"], x["content"]), lambda sigs: F.when(F.size(sigs) > 0, sigs).otherwise(behind_hashed(x["ws"], x["content"])))
+
+    own = words(F.coalesce(text, F.lit("")))
+    return _let(own, lambda ws: _let(F.struct(ws.alias("ws"), F.filter(ws, lambda w: ~w.isin(*common)).alias("content")), of))
 
 
 def fingerprint(sigs: Column) -> Column:
     """A set as text: its size and a digest of its members."""
-    return F.concat_ws("-", F.size(sigs).cast("string"), F.sha2(F.concat_ws(",", F.transform(sigs, lambda s: s.cast("string"))), 256))
+    return F.concat_ws("-", F.size(sigs).cast("string"), F.sha2(F.array_join(sigs, ","), 256))
+
+
+def partition(n: Column, least: float) -> Column:
+    """Number of the length partition of a set of n members, above 0; each spans a factor of 1 / least."""
+    return F.floor(F.log(n) / F.log(F.lit(1 / min(least, 0.999))) + 1e-9).cast("int")
 
 
-def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard similarity of two sets; pairs whose sizes alone keep it under `least` give 0 uncompared."""
+def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
+    """Jaccard similarity of two sets; 0, uncompared, if their lengths keep it under `least`."""
     n, m = F.size(a), F.size(b)
-    both = F.size(F.array_intersect(a, b))
-    exact = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(both / (n + m - both))
-    return F.when(F.least(n, m) >= F.lit(least) * F.greatest(n, m), exact).otherwise(0.0)
+    pruned = (F.abs(partition(n, least) - partition(m, least)) > 1) | (F.least(n, m) < F.lit(least) * F.greatest(n, m))
+    exact = _let(F.size(F.array_intersect(a, b)), lambda both: both / (n + m - both))
+    return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).when(pruned, 0.0).otherwise(exact)
 
 
-def following(docs: DataFrame, columns: tuple[str, ...], run_rows: int = RUN_ROWS, max_runs: int = MAX_RUNS) -> DataFrame:
-    """Every row with `next_<column>` of the row of the next doc_id, after the last one that of the first.
+def following(docs: DataFrame, columns: dict[str, Column], run_rows: int = RUN_ROWS, max_runs: int = MAX_RUNS) -> DataFrame:
+    """All columns of `docs`, `columns` by name, and `next_<name>`: those of the row of the next doc_id.
 
-    The id order is cut into runs of about `run_rows` rows at quantiles of the ids; a run is a task's window.
-    The first row of a run is copied behind the run before it, so each row travels once. Equal ids follow each
-    other in the order of `columns`; null ids come first.
+    The last row is followed by the first, a single one by itself. The id order is cut into runs of about
+    `run_rows` rows at quantiles of the ids; a run is a task's window. The first rows of a run are copied behind
+    the run before it, so each row travels once, and `columns` are made after that. Equal ids follow each other
+    in the order of the texts; null ids come first. Own columns begin with `__graphloom_`; a column of `docs`
+    that `columns` names is replaced.
     """
     spark = docs.sparkSession
+    run, place, at = "__graphloom_run", "__graphloom_place", "__graphloom_at"
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     n = ids.count()
     runs = max(1, min(max_runs, n // run_rows))
     cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 20 * runs)).first()[0] or [])) if runs > 1 else []
-    rows = docs.withColumn("run", _run_of(F.col("doc_id"), cuts))
+    own = docs.withColumn(run, _run_of(F.col("doc_id").cast("long"), cuts))
     # the first id of each run and the run before it: as many rows as runs
-    first = ids.withColumn("run", _run_of(F.col("doc_id"), cuts)).groupBy("run").agg(F.min("doc_id").alias("first_id"))
-    heads = sorted((r["run"], r["first_id"]) for r in first.collect())
+    first = ids.withColumn(run, _run_of(F.col("doc_id"), cuts)).groupBy(run).agg(F.min("doc_id").alias("first_id"))
+    heads = sorted((r[run], r["first_id"]) for r in first.collect())
+    kept = [c for c in docs.columns if c not in columns]
     if not heads:
-        return docs.select("*", *(F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in columns))
-    ghosts = spark.createDataFrame([(at, heads[i - 1][0], i == 0) for i, (_, at) in enumerate(heads)], "head long, into int, wraps boolean")
-    marked = rows.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    own = F.struct(F.col("run").alias("run"), F.lit(0).alias("place"))
-    ghost = F.struct(F.col("into").alias("run"), F.when(F.col("wraps"), 2).otherwise(1).alias("place"))
-    dealt = marked.select(*docs.columns, F.explode(F.when(F.col("into").isNotNull(), F.array(own, ghost)).otherwise(F.array(own))).alias("at"))
-    dealt = dealt.select(*docs.columns, "at.run", "at.place")
-    order = Window.partitionBy("run").orderBy("place", "doc_id", *[c for c in columns if c != "doc_id"])
-    led = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
-    return led.where("place = 0").drop("run", "place")
+        empty = docs.select(*kept, *(c.alias(name) for name, c in columns.items()))
+        return empty.select("*", *(F.lit(None).cast(empty.schema[name].dataType).alias(f"next_{name}") for name in columns))
+    ghosts = spark.createDataFrame([(first_id, heads[i - 1][0], i == 0) for i, (_, first_id) in enumerate(heads)], "__graphloom_head long, __graphloom_into int, __graphloom_wraps boolean")
+    marked = own.join(F.broadcast(ghosts), F.col("doc_id").cast("long").eqNullSafe(F.col("__graphloom_head")), "left")
+    here = F.struct(F.col(run).alias("run"), F.lit(0).alias("place"))
+    ghost = F.struct(F.col("__graphloom_into").alias("run"), F.when(F.col("__graphloom_wraps"), 2).otherwise(1).alias("place"))
+    dealt = marked.select(*docs.columns, F.explode(F.when(F.col("__graphloom_into").isNotNull(), F.array(here, ghost)).otherwise(F.array(here))).alias(at))
+    dealt = dealt.select(*docs.columns, F.col(f"{at}.run").alias(run), F.col(f"{at}.place").alias(place))
+    dealt = dealt.repartition(run).select(*kept, *(c.alias(name) for name, c in columns.items()), run, place, F.col("text").alias(at))
+    order = Window.partitionBy(run).orderBy(place, "doc_id", at)
+    led = dealt.select("*", *(F.lead(name).over(order).alias(f"next_{name}") for name in columns))
+    return led.where(F.col(place) == 0).drop(run, place, at)
 
 
 def _run_of(value: Column, cuts: list[int]) -> Column:
-    """Number of cuts below or at the value, found by bisection in expressions of logarithmic depth."""
+    """Number of cuts below or at the value, by bisection of a literal array."""
+    if not cuts:
+        return F.lit(0)
+    array = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
 
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < cuts[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        right = F.get(array, mid) <= value
+        lower = F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(mid).alias("hi"))
+        return F.when(acc["lo"] < acc["hi"], lower).otherwise(acc)
 
-    return F.when(value.isNull(), 0).otherwise(search(0, len(cuts))).cast("int")
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    return F.when(value.isNull(), 0).otherwise(F.aggregate(steps, start, halve, lambda acc: acc["lo"]))
 
 
-def edited_pairs(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
+def edited_pairs(docs: DataFrame, chain: int = CHAIN, least: float = LEAST) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses, one row per row of `docs`.
 
     The edited text has its last floor(n / 2) code points replaced by the first as many, or all, of the next
-    document's by ascending doc_id; the last document is followed by the first, a single one by itself.
+    document's by ascending doc_id; the last document is followed by the first, a single one by itself. Repeated
+    ids follow each other by text, null ids come first, an empty table gives an empty one; other columns than
+    doc_id and text aren't read.
     Returns doc_id, n_chars, edited_sha256, signatures, edited_signatures, near_edited, near_next.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("sigs", signatures(F.col("text"), chain))
-    led = following(rows, ("text", "sigs"))
+    led = following(rows, {"text": F.col("text"), "sigs": signatures(F.col("text"), chain)})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
@@ -134,8 +166,8 @@ def edited_pairs(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
         "edited_sha256",
         F.col("sigs").alias("signatures"),
         F.col("edited_sigs").alias("edited_signatures"),
-        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-        likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        likeness(F.col("sigs"), F.col("edited_sigs"), least).alias("near_edited"),
+        likeness(F.col("sigs"), F.col("next_sigs"), least).alias("near_next"),
     )
 
 
@@ -161,7 +193,7 @@ def near_pairs(docs: DataFrame, least: float = 0.75, chain: int = CHAIN) -> Data
     signatures meet: two sets of that likeness share one among the first size - ceil(least * size) + 1.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text"), chain).alias("sigs"))
-    rows = materialize(rows.where(F.size("sigs") > 0).withColumn("set", F.sha2(F.concat_ws(",", F.transform("sigs", lambda s: s.cast("string"))), 256)), "spots")
+    rows = materialize(rows.where(F.size("sigs") > 0).withColumn("set", F.sha2(F.array_join("sigs", ","), 256)), "spots")
     reps = rows.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"))
     members = rows.select("doc_id", "set").join(reps.select("set", "rep"), "set").select("doc_id", "rep")
     sets = materialize(reps.select("rep", "sigs", F.size("sigs").alias("n")), "sets")
@@ -169,7 +201,7 @@ def near_pairs(docs: DataFrame, least: float = 0.75, chain: int = CHAIN) -> Data
     ranked = sets.select("rep", "n", F.explode("sigs").alias("sig")).join(freq, "sig")
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "sig"))
     prefix = F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1
-    part = F.floor(F.log(F.col("n")) / F.lit(-1.0) / F.log(F.lit(min(least, 0.999)))).cast("int")
+    part = partition(F.col("n"), least)
     heads = ranked.withColumn("rank", rank).where(F.col("rank") <= prefix).where("df > 1").select("rep", "n", "sig", part.alias("part"))
     met = heads.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
     other = heads.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), "sig", "part")
