@@ -2,11 +2,11 @@
 
 Base patterns find assignments, access keys and hex runs. On top of them, two first-order Markov models over
 characters, one of random strings and one of ordinary identifiers, judge every other token of TOKEN_MIN or more
-characters that mixes character kinds: a mean log-likelihood ratio above the margin makes it a span of kind
-`random`. Both models are trained from labelled samples (token, label).
+characters with a letter: a mean log-likelihood ratio above the margin makes it a span of kind `random`. Both
+models are trained from labelled samples (token, label).
 
 Positions are code points. Texts without a hit, nearly all, leave after one regular-expression test a kind; the
-models are literals of at most (alphabet + 1)**2 numbers each.
+models are literals of len(ALPHABET)**2 numbers. Work grows with the text and, for n spans, as n ** 1.5.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ HEX = r"[0-9a-f]+"
 #: Kinds in listed order with their pattern and least length (of the value for assignments, else the match).
 KINDS = (("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24))
 
-#: Tokens that the models judge: a digit and a letter within a run of this length at least.
+#: Least length of the tokens that the models judge.
 TOKEN_MIN = 16
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{TOKEN_MIN},}}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -53,46 +53,91 @@ SAMPLE_DOCS, SAMPLE_SECRETS = 400, 2000
 _NONE = "array<struct<start:int,end:int,kind:string,match:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is made once: a one-element array binds it to a name."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _cut(text: Column, pattern: str) -> Column:
+    """struct(between, matches): all matches, leftmost and not overlapping, and the texts around them."""
+    return F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"))
+
+
 def _pieces(text: Column, pattern: str, kind: str) -> Column:
     """array<struct(start, end, kind, match)> of all matches, leftmost and not overlapping.
 
-    What lies between matches comes from `split`, so that a start is a running sum of lengths.
+    A start is the running sum of the lengths before it. Sums run within blocks of about sqrt(n) matches and over
+    the blocks, since each step of a running sum copies what it has so far.
     """
-    between = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(F.char_length(b).alias("gap"), m.alias("match")))
-    empty = F.array().cast(_NONE)
-    start = lambda acc, x: acc["at"] + x["gap"]
-    end = lambda acc, x: start(acc, x) + F.char_length(x["match"])
-    merged = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, x: F.struct(
-            end(acc, x).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct(start(acc, x).alias("start"), end(acc, x).alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match")))).alias("spans"),
-        ),
-    )
-    return merged["spans"]
+
+    def sized(x: Column) -> Column:
+        gaps = F.slice(x["between"], 1, F.size(x["matches"]))
+        return F.zip_with(gaps, x["matches"], lambda b, m: F.struct(F.char_length(b).alias("gap"), F.char_length(m).alias("size"), m.alias("match")))
+
+    def spans(x: Column) -> Column:
+        n = F.size(x)
+        step = F.ceil(F.sqrt(n)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1), lambda k: F.slice(x, k * step + 1, step))
+        return F.when(n > 0, _let(blocks, placed)).otherwise(F.array().cast(_NONE))
+
+    def placed(blocks: Column) -> Column:
+        total = lambda block: F.aggregate(block, F.lit(0), lambda acc, y: acc + y["gap"] + y["size"])
+        before = F.aggregate(
+            F.transform(blocks, total),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+            lambda acc, t: F.struct((acc["at"] + t).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+        )
+        return _let(before["all"], lambda offsets: F.flatten(F.transform(blocks, lambda block, k: inside(block, F.get(offsets, k)))))
+
+    def inside(block: Column, offset: Column) -> Column:
+        def add(acc: Column, y: Column) -> Column:
+            start = acc["at"] + y["gap"]
+            span = F.struct(start.alias("start"), (start + y["size"]).alias("end"), F.lit(kind).alias("kind"), y["match"].alias("match"))
+            return F.struct((start + y["size"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+        return F.aggregate(block, F.struct(offset.alias("at"), F.array().cast(_NONE).alias("spans")), add)["spans"]
+
+    return _let(_let(_cut(text, pattern), sized), spans)
+
+
+#: For each kind, a pattern of matches that are long enough, and a test that costs next to nothing.
+_LONG = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
+_CHEAP = {"assign": lambda text: text.contains("=") | text.contains(":"), "access": lambda text: text.contains("AKIA"), "hex": lambda text: F.lit(True)}
+
+
+def _counts(match: Column, kind: str) -> Column:
+    return F.char_length(F.regexp_extract(match, ASSIGN, 2)) >= 6 if kind == "assign" else F.lit(True)
+
+
+def spans_of(text: Column, kind: str) -> Column:
+    """Spans of one base pattern in ascending order."""
+    found = F.filter(_pieces(text, _LONG[kind], kind), lambda s: _counts(s["match"], kind))
+    return F.when(_CHEAP[kind](text) & text.rlike(_LONG[kind]), found).otherwise(F.array().cast(_NONE))
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the base patterns, in the order of kinds."""
-    found = []
-    for kind, pattern, least in KINDS:
-        # a text that has no match of the least length has no span; hex runs are tested at that length at once
-        test = {"assign": pattern, "access": rf"AKIA[A-Z0-9]{{{least - 4},}}", "hex": rf"[0-9a-f]{{{least},}}"}[kind]
-        searched = pattern if kind == "assign" else test
-        spans = _pieces(text, searched, kind)
-        if kind == "assign":
-            spans = F.filter(spans, lambda s: F.char_length(F.regexp_extract(s["match"], ASSIGN, 2)) >= least)
-        cheap = {"assign": text.contains("=") | text.contains(":"), "access": text.contains("AKIA")}.get(kind, F.lit(True))
-        found.append(F.when(cheap & text.rlike(test), spans).otherwise(F.array().cast(_NONE)))
-    return F.concat(*found)
+    return F.concat(*(spans_of(text, kind) for kind, _, _ in KINDS))
+
+
+def _meets(spans: Column, m: Column) -> Column:
+    """Whether one of the spans, ascending and apart, overlaps the span m: the last that starts before m ends."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        right = F.get(spans, mid)["start"] < m["end"]
+        lower = F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(mid).alias("hi"))
+        return F.when(acc["lo"] < acc["hi"], lower).otherwise(acc)
+
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(spans))))
+    before = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve, lambda acc: acc["lo"])
+    last = _let(before, lambda n: F.when(n > 0, F.get(spans, n - 1)["end"] > m["start"]))
+    return F.coalesce(F.when(F.size(spans) > 0, last), F.lit(False))
 
 
 def _pairs(token: Column) -> Column:
     """Adjacent character pairs of a token."""
-    return F.transform(F.sequence(F.lit(1), F.char_length(token) - 1), lambda i: F.substring(token, i, 2))
+    return _let(F.split(token, ""), lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.concat(a, b)))
 
 
 def train(samples: DataFrame) -> dict[str, float]:
@@ -127,13 +172,15 @@ def random_samples(spark, n: int = SAMPLE_SECRETS) -> DataFrame:
 def identifier_samples(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
     """(token, label 0): words of about `n` documents, chosen by hash of the id, and their joins as identifiers.
 
-    Words that a base pattern marks are left out. Neighbours joined by `_`, as camel case and with a short
+    What a base pattern marks is cut out first. Neighbours joined by `_`, as camel case and with a short
     number behind teach the model how ordinary names look.
     """
     total = docs.select("doc_id").count()
-    few = docs.where("text is not null").where(unit_hash("doc_id", seed=10) < n / max(total, 1)).select("text")
-    words = F.filter(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{3,}"), F.lit(0)), lambda w: ~w.rlike(r"^[0-9a-f]{24,}$"))
-    each = few.select(F.explode(F.arrays_zip(words.alias("w"), F.slice(words, 2, 1_000_000).alias("x"), F.slice(words, 3, 1_000_000).alias("y"))).alias("p"))
+    few = docs.where("text is not null").where(unit_hash("doc_id", seed=10) < n / max(total, 1)).select(mask_base(F.col("text"), " ").alias("text"))
+    few = few.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # a few hundred texts, dealt to all cores
+    few = few.select(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{3,}"), F.lit(0)).alias("words"))
+    rest = lambda k: F.slice("words", k, F.size("words"))
+    each = few.where(F.size("words") > 2).select(F.explode(F.arrays_zip(F.col("words").alias("w"), rest(2).alias("x"), rest(3).alias("y"))).alias("p"))
     each = each.select("p.*").where("w is not null and x is not null and y is not null")
     named = F.array(
         F.col("w"),
@@ -156,43 +203,42 @@ def name_samples(spark, n: int = 20_000) -> DataFrame:
     return x.select(F.element_at(F.array(*forms), (F.col("id") % len(forms) + 1).cast("int")).alias("token"), F.lit(0).alias("label"))
 
 
-def _mixed(token: Column) -> Column:
-    return token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+#: A token with a letter; from each token's start, in time linear in the token.
+_LETTERED = rf"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z]){TOKEN}"
 
 
-def random_spans(text: Column, model: dict[str, float], margin: float = MARGIN) -> Column:
-    """Spans of kind `random`: tokens whose mean log-likelihood ratio exceeds the margin."""
+def _is_random(token: Column, model: dict[str, float], margin: float) -> Column:
+    """Whether a token's mean log-likelihood ratio exceeds the margin."""
     size = len(ALPHABET)
     numbers = ",".join(f"{model[a + b]:.6f}" for a in ALPHABET for b in ALPHABET)
     ratios = F.split(F.lit(numbers), ",").cast("array<double>")  # folded to one literal, read by position
+    places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    sums = _let(places, lambda c: F.aggregate(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.element_at(ratios, (a - 1) * size + b)), F.lit(0.0), lambda acc, r: acc + r))
+    return token.rlike("[A-Za-z]") & (sums > margin * (F.char_length(token) - 1))
 
-    def ratio(pair: Column) -> Column:
-        place = lambda k: F.instr(F.lit(ALPHABET), F.substring(pair, k, 1))
-        return F.element_at(ratios, (place(1) - 1) * size + place(2))
 
-    candidates = F.filter(_pieces(text, TOKEN, "random"), lambda s: _mixed(s["match"]))
-    score = lambda t: F.aggregate(_pairs(t), F.lit(0.0), lambda acc, p: acc + ratio(p))
-    good = F.filter(candidates, lambda s: score(s["match"]) > margin * (F.char_length(s["match"]) - 1))
-    # from each token's start, in time linear in the token: long enough, a digit, a letter
-    test = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z]){TOKEN}"
-    return F.when(text.rlike(test), good).otherwise(F.array().cast(_NONE))
+def random_spans(text: Column, model: dict[str, float], margin: float = MARGIN) -> Column:
+    """Spans of kind `random`: tokens whose mean log-likelihood ratio exceeds the margin."""
+    good = F.filter(_pieces(text, TOKEN, "random"), lambda s: _is_random(s["match"], model, margin))
+    return F.when(text.rlike(_LETTERED), good).otherwise(F.array().cast(_NONE))
 
 
 def scan(docs: DataFrame, samples: DataFrame | None = None, margin: float = MARGIN) -> DataFrame:
-    """(doc_id, text, base, extra) for every row of `docs`: arrays of spans (start, end, kind, match).
+    """(doc_id, text, base, extra) for every row of `docs` (doc_id, text): arrays of spans (start, end, kind, match).
 
     Null texts count as empty and have no spans. `base` holds the base patterns' spans, `extra` those the
-    models add outside base spans. Without `samples` the models learn from `random_samples` and
+    models add outside base spans. Repeated rows get equal results, an empty table gives an empty one, null ids
+    stay null, other columns aren't read. Without `samples` the models learn from `random_samples` and
     `identifier_samples` of `docs`.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if samples is None:
         samples = random_samples(docs.sparkSession).union(identifier_samples(docs))
-    model = train(samples)
-    text = F.col("text")
-    found = rows.withColumns({"base": base_spans(text), "more": random_spans(text, model, margin)})
-    clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.select("doc_id", "text", "base", clear.alias("extra"))
+    model, text = train(samples), F.col("text")
+    kinds = [kind for kind, _, _ in KINDS]
+    found = rows.withColumns({kind: spans_of(text, kind) for kind in kinds} | {"more": random_spans(text, model, margin)})
+    meets = lambda m: F.when(_meets(F.col(kinds[0]), m), True).when(_meets(F.col(kinds[1]), m), True).otherwise(_meets(F.col(kinds[2]), m))
+    return found.select("doc_id", "text", F.concat(*kinds).alias("base"), F.filter("more", lambda m: ~meets(m)).alias("extra"))
 
 
 def _order(kind: Column) -> Column:
@@ -212,34 +258,35 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "extra")).alias("spans"))
 
 
-def _masked(text: Column, spans: Column, mask: str) -> Column:
-    merged = F.aggregate(
-        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.when(s["start"] < acc["at"], acc["out"])
-                .otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-                .alias("out"),
-            )
-        ),
-    )
-    rest = F.concat(merged["out"], F.substring(text, merged["at"] + 1, F.char_length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(rest)
+def _replaced(text: Column, pattern: str, counts, mask: str) -> Column:
+    """The text with `mask` for every match that counts."""
+    part = lambda b, m: F.concat(b, F.when(m.isNull(), "").when(counts(m), mask).otherwise(m))
+    return _let(_cut(text, pattern), lambda x: F.array_join(F.zip_with(x["between"], x["matches"], part), ""))
+
+
+def _mask_kind(text: Column, kind: str, mask: str) -> Column:
+    found = _replaced(text, _LONG[kind], lambda m: _counts(m, kind), mask)
+    return F.when(_CHEAP[kind](text) & text.rlike(_LONG[kind]), found).otherwise(text)
+
+
+def mask_base(text: Column, mask: str) -> Column:
+    """The text with `mask` for every base span. Of overlapping spans the first kind as listed goes first."""
+    return _let(_let(_mask_kind(text, "assign", mask), lambda t: _mask_kind(t, "access", mask)), lambda t: _mask_kind(t, "hex", mask))
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", margin: float = MARGIN, samples: DataFrame | None = None) -> DataFrame:
-    """`docs` with every span of `scan` replaced by `mask`, overlapping spans by one; n_chars follows the text.
+    """`docs` with `mask` for every base span, and then for every random token; n_chars follows the text.
 
-    All rows and columns stay; null texts stay null.
+    All rows and columns stay, repeated rows too; null texts stay null, an empty table stays empty. Of overlapping
+    spans the first kind as listed is masked, then what the others find in the rest.
     """
     if samples is None:
         samples = random_samples(docs.sparkSession).union(identifier_samples(docs))
-    model, found = train(samples), "__graphloom_spans"
-    spanned = docs.withColumn(found, F.when(F.col("text").isNotNull(), F.concat(base_spans(F.col("text")), random_spans(F.col("text"), model, margin))))
-    out = spanned.withColumn("text", F.when(F.col("text").isNotNull(), _masked(F.col("text"), F.col(found), mask)))
+    model = train(samples)
+    random = lambda t: F.when(t.rlike(_LETTERED), _replaced(t, TOKEN, lambda m: _is_random(m, model, margin), mask)).otherwise(t)
+    masked = F.when(F.col("text").isNotNull(), _let(mask_base(F.col("text"), mask), random))
+    out = docs.withColumn("__graphloom_masked", masked)
     if "n_chars" in docs.columns:
-        changed = F.size(found) > 0
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed = F.col("__graphloom_masked") != F.col("text")
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("__graphloom_masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col("__graphloom_masked")).select(*docs.columns)
