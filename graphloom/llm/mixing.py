@@ -5,9 +5,11 @@ the documents of a source in ascending order of key are a weighted sample withou
 whose target exceeds its size is first taken in whole as often as that fits (complete epochs); the rest of the
 target is filled in the order of keys until the prefix sum of sizes meets it.
 
-No source is ever sorted in one task. Keys fall into BINS bins by the quantile that an exponential of mean
-weight gives them; sizes are summed by (source, bin) before the shuffle, the prefix sums of bins run over
-at most BINS rows a source, and only the one bin of each source in which the target falls is sorted by row.
+No source is ever sorted or gathered in one task. Keys fall into BINS bins by the quantile that an exponential of
+mean weight gives them; sizes are summed by (source, bin) before the shuffle, the prefix sums of bins run over at
+most BINS rows a source, and only the one bin of each source in which the target falls is sorted by row. That
+gives each source a last row to take; with the plan, one row a source, in every task, rows are decided where they
+are. Beyond PLAN_ROWS sources the plan isn't broadcast: rows are salted by SALTS and meet its copies.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import materialize, unit_digest, word_count
 
 BINS = 4096
+#: Most rows of a plan that is broadcast, and salts of a source where it isn't.
+PLAN_ROWS, SALTS = 20_000, 64
 #: Weights of sources in order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Quality weights by labels.quality; unlabelled documents have 1.
@@ -82,15 +86,27 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = 1.5, m
     # the first bin whose prefix sum reaches the rest, and the words before it
     edge = cut.where("upto >= rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
     plan = targets.join(edge.withColumnRenamed("source", "e"), F.col("source").eqNullSafe(F.col("e")), "left").select("source", "source_size", "target", "epochs", "rest", F.col("edge.bin").alias("edge_bin"), F.col("edge.before").alias("edge_before"))
-    joined = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    at_edge = (F.col("bin") == F.col("edge_bin")) & F.col("edge_bin").isNotNull()
-    clear = joined.where(~F.coalesce(at_edge, F.lit(False)))
-    clear = clear.withColumn("extra", F.coalesce(F.col("bin") < F.col("edge_bin"), F.lit(False)))
+    plan = materialize(plan, "plan")
     in_bin = Window.partitionBy("source").orderBy("key", "doc_id", "size")
-    tight = joined.where(at_edge).withColumn("prefix", F.col("edge_before") + F.sum("size").over(in_bin.rowsBetween(Window.unboundedPreceding, 0)))
-    tight = tight.withColumn("extra", F.col("prefix") - F.col("size") / 2 <= F.col("rest")).drop("prefix")
-    copies = F.col("epochs") + (F.col("extra") & (F.col("rest") > 0) & (F.col("size") > 0)).cast("long")
-    return clear.unionByName(tight).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.alias("copies"))
+    place = F.struct("key", "doc_id", "size")
+    tight = _with_plan(rows, plan).where(F.col("bin") == F.col("edge_bin")).withColumn("prefix", F.col("edge_before") + F.sum("size").over(in_bin.rowsBetween(Window.unboundedPreceding, 0)))
+    # prefix - size / 2 never falls along the order: what is taken ends at one row
+    last = tight.where(F.col("prefix") - F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(place).alias("last"))
+    ended = materialize(plan.join(last.withColumnRenamed("source", "e"), F.col("source").eqNullSafe(F.col("e")), "left").drop("e"), "plan")
+    before = (F.col("bin") < F.col("edge_bin")) | ((F.col("bin") == F.col("edge_bin")) & (place <= F.col("last")))
+    copies = F.col("epochs") + (F.coalesce(before, F.lit(False)) & (F.col("rest") > 0) & (F.col("size") > 0)).cast("long")
+    return _with_plan(rows, ended).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.alias("copies"))
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """`rows` with the plan's columns for their source; `plan` is a written table of one row a source."""
+    plan = plan.withColumnRenamed("source", "plan_source")
+    same = F.col("source").eqNullSafe(F.col("plan_source"))
+    if plan.count() <= PLAN_ROWS:
+        return rows.join(F.broadcast(plan), same).drop("plan_source")
+    salted = plan.withColumn("plan_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("key", "doc_id", "size"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, same & (F.col("salt") == F.col("plan_salt"))).drop("plan_source", "plan_salt", "salt")
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
