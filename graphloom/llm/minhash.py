@@ -7,11 +7,15 @@
 3. Buckets (equal band keys) give a star: every member is a candidate of the bucket's first member. Stars are
    linear in the bucket; a pair of similarity 0.75 misses all 32 bands with probability 5e-6.
 4. A candidate whose signatures agree in less than 58 % of places (4.4 standard deviations under 0.75) goes;
-   the others are verified on their full sets, and components are taken.
+   the others are verified on their full sets, and components are taken. The sets are made once, of one text for
+   each class that shares a bucket, and written: the only time that texts travel.
 5. A bucket whose members are still in more than one component may hide a link that no star edge showed. Its
    members meet across components in groups of at most two blocks of BLOCK members, where signatures and
    hashed sets find the links that join components; a group reports fewer links than it has members, never
    its pairs. These are verified on full sets, and components are taken again.
+
+One bucket, class or component may hold a third of all rows: what is aggregated by such a key is written before rows
+are joined to it, so that both sides of the join are plain shuffles, whose skewed partitions adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -68,7 +72,10 @@ def band_keys(least: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, signature) for each row; empty sets have null keys."""
+    """(doc_id, digest, n_shingles, set_key, bands, signature) for each row; empty sets have null keys.
+
+    digest is a hash of the text that tells rows of one id apart.
+    """
 
     def compute(cols: dict[str, list]) -> dict[str, list]:
         shingler = Shingler(width)
@@ -86,25 +93,40 @@ def sketch(docs: DataFrame, width: int = 5) -> DataFrame:
             out["signature"].append((least >> _U(32)).astype(np.uint8).tobytes())
         return out
 
-    return map_columns(docs.select(F.col("doc_id").cast("long"), "text"), compute, SKETCH, ("doc_id",))
+    return map_columns(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("digest")), compute, SKETCH, ("doc_id", "digest"))
 
 
-def shingle_sets(docs: DataFrame, width: int = 5, short: bool = False) -> DataFrame:
-    """(set_key, items): the full sorted sets as packed hashes of 64 bits, or of 32; empty sets have no row."""
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(set_key, items): the full sorted sets as packed 64-bit hashes; empty sets have no row."""
 
     def compute(cols: dict[str, list]) -> dict[str, list]:
         shingler = Shingler(width)
         sets = [shingler.distinct(t) for t in cols["text"]]
-        return {"set_key": [_key(x) for x in sets], "items": [(np.unique(x.astype(np.uint32)) if short else x).tobytes() for x in sets]}
+        return {"set_key": [_key(x) for x in sets], "items": [x.tobytes() for x in sets]}
 
     made = map_columns(docs.select("text"), compute, "set_key string, items binary", ())
     return made.where("set_key is not null")
 
 
-def _sets_of(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int, short: bool = False) -> DataFrame:
+def _sets_of(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Written table of `shingle_sets` for the keys (set_key) alone."""
     ids = classes.join(keys, "set_key", "left_semi").select("doc_id").distinct()
-    return materialize(shingle_sets(docs.join(ids, "doc_id", "left_semi"), width, short).dropDuplicates(["set_key"]), "sets")
+    found = shingle_sets(docs.join(ids, "doc_id", "left_semi"), width)
+    return materialize(found.dropDuplicates(["set_key"]), "sets")
+
+
+def _cut_short(members: DataFrame) -> DataFrame:
+    """`members` with each set's hashes cut to 32 bits."""
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index("items")
+            items = [np.unique(np.frombuffer(x.as_buffer(), _U).astype(np.uint32)).tobytes() for x in batch.column(at)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(items, batch.schema.field(at).type))
+
+    return members.mapInArrow(cut, members.schema)
 
 
 def _key(values: np.ndarray) -> str | None:
@@ -132,10 +154,8 @@ def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return both.mapInArrow(keep, "a string, b string")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that hold 100 * intersection >= percent * union on the full sets."""
-    keys = pairs.select(F.col("a").alias("set_key")).union(pairs.select(F.col("b").alias("set_key"))).distinct()
-    sets = _sets_of(keys, classes, docs, width)
     left = sets.select(F.col("set_key").alias("a"), F.col("items").alias("set_a"))
     right = sets.select(F.col("set_key").alias("b"), F.col("items").alias("set_b"))
 
@@ -150,9 +170,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
             yield batch.select([0, 1]).take(_rows(good))
 
     found = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(keep, "a string, b string")
-    links = materialize(found, "links")
-    drop_scratch(sets)
-    return links
+    return materialize(found, "links")
 
 
 def by_chance(expected: float) -> int:
@@ -258,8 +276,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     reachable, kept tells whether it is the row's own. Null texts and texts without words have an empty set
     and are linked with nothing; a row with a null doc_id gets a null component and is kept; a doc_id that
     repeats gets a result for each row by that row's text. Columns besides doc_id and text are not read.
-    `percent` must be 75 or more: the bands are chosen for it.
+    An empty table gives an empty one. `percent` must be 75 or more: the bands are chosen for it.
     """
+    return _grouped(docs, percent, width).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """`near_duplicates` with the digest of each row's text."""
     if percent < 75:
         raise ValueError("the bands are chosen for 75 percent or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -268,45 +291,49 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     first = [F.first(c).alias(c) for c in ("n_shingles", "bands", "signature")]
     classes = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *first), "classes")
     members = classes.select("set_key", F.posexplode("bands").alias("band", "key"))
-    heads = members.groupBy("key").agg(F.min("set_key").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    heads = materialize(members.groupBy("key").agg(F.min("set_key").alias("lead"), F.count("*").alias("n")).where("n > 1"), "heads")
     shared = materialize(members.join(heads, "key"), "buckets")
+    sets = _sets_of(shared.select("set_key").distinct(), classes, docs, width)
     stars = shared.where("set_key > lead").select(F.col("lead").alias("a"), F.col("set_key").alias("b")).distinct()
     signatures = classes.select("set_key", "signature")
-    links = _verified(materialize(_likely(stars, signatures), "stars"), classes, docs, percent, width)
+    links = _verified(materialize(_likely(stars, signatures), "stars"), sets, percent)
     found = materialize(connected_components(links), "components").withColumnRenamed("node", "set_key")
 
     own = F.coalesce("component", "set_key").alias("component")
     placed = shared.where("n > 2").join(found, "set_key", "left").select("key", "band", "set_key", "n", own)
-    spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    spread = materialize(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"), "spread")
     apart = materialize(placed.join(spread.select("key"), "key", "left_semi"), "apart")
-    short = _sets_of(apart.select("set_key").distinct(), classes, docs, width, short=True)
-    hidden = apart.join(classes.drop("doc_id"), "set_key").join(short, "set_key")
-    extra = materialize(_hidden_links(hidden, percent), "hidden")
-    drop_scratch(short)
+    hidden = apart.join(classes.drop("doc_id"), "set_key").join(sets, "set_key")
+    extra = materialize(_hidden_links(_cut_short(hidden), percent), "hidden")
     if not extra.isEmpty():
-        more = _verified(extra, classes, docs, percent, width)
+        more = _verified(extra, sets, percent)
         if not more.isEmpty():
             found = materialize(connected_components(links.union(more)), "components").withColumnRenamed("node", "set_key")
-    drop_scratch(shared)
-    drop_scratch(apart)
+    for done in (heads, shared, sets, spread, apart):
+        drop_scratch(done)
 
     places = classes.select("set_key", "doc_id").join(found, "set_key", "left").select("set_key", "doc_id", own)
-    least = places.groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = materialize(places.groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     places = places.join(least, "component").select("set_key", "least")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return (
-        rows.select("doc_id", "n_shingles", "set_key")
+        rows.select("doc_id", "digest", "n_shingles", "set_key")
         .join(places, "set_key", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        .select("doc_id", "digest", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
     )
 
 
 def keep_one(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: that of the least doc_id.
 
-    Rows with null ids or empty sets are groups of their own; rows that repeat an id with the same text count
-    as copies.
+    Rows with null ids or empty sets are groups of their own; rows that repeat an id with the same text count as
+    copies. Where one id has several texts, each is judged by its own group, and of those in the group that the
+    id leads one stays. An empty table stays empty.
     """
-    kept = near_duplicates(docs, percent, width).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    held = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = _grouped(docs, percent, width).where("kept and doc_id is not null")
+    led = kept.where("n_shingles > 0").groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    named = led.union(kept.where("n_shingles = 0").select("doc_id", "digest").distinct()).toDF("__graphloom_id", "__graphloom_digest")
+    keyed = docs.withColumns({"__graphloom_own": F.col("doc_id").cast("long"), "__graphloom_text": F.xxhash64("text")})
+    same = (keyed["__graphloom_own"] == named["__graphloom_id"]) & (keyed["__graphloom_text"] == named["__graphloom_digest"])
+    held = keyed.join(named, same, "left_semi").dropDuplicates(["__graphloom_own", "__graphloom_text"]).select(*docs.columns)
     return held.unionByName(docs.where("doc_id is null"))
