@@ -51,27 +51,38 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         head.append(int(m[1]))
         at = m.end()
     w, h, top = *head[:2], head[2] if len(head) > 2 else 1
+    if not 0 < top < 65536:
+        raise ValueError("broken Netpbm header")
     depth = 3 if kind in (b"P3", b"P6") else 1
     n = w * h * depth
     if kind in (b"P4", b"P5", b"P6"):
         at += 1  # one white space after the header
     if kind == b"P4":
         row = (w + 7) // 8
+        if len(data) - at < row * h:
+            raise ValueError("image data end early")
         bits = np.frombuffer(data, np.uint8, row * h, at).reshape(h, row)
         return np.where(np.unpackbits(bits, axis=1)[:, :w] == 1, 0, 255).astype(np.uint8)
     if kind == b"P1":
-        flat = np.array([c - 48 for c in re.sub(rb"#[^\n\r]*|\s", b"", data[at:])[:n]], np.uint8)
-        if flat.size < n:
-            raise ValueError("image data end early")
+        bits = re.sub(rb"#[^\n\r]*|\s", b"", data[at:])[:n]
+        if len(bits) < n or bits.strip(b"01"):
+            raise ValueError("image data end early or aren't bits")
+        flat = np.frombuffer(bits, np.uint8) - 48
         return np.where(flat == 1, 0, 255).astype(np.uint8).reshape(h, w)
     if kind in (b"P2", b"P3"):
-        flat = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], dtype=np.int64)
-    elif top < 256:
-        flat = np.frombuffer(data, np.uint8, n, at)
+        fields = re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n]
+        if any(len(x) > 9 or not x.isdigit() for x in fields):
+            raise ValueError("a sample isn't a number up to the maximum")
+        flat = np.array(fields, dtype=np.int64)
     else:
-        flat = np.frombuffer(data, ">u2", n, at)
+        size = 1 if top < 256 else 2
+        if len(data) - at < n * size:
+            raise ValueError("image data end early")
+        flat = np.frombuffer(data, np.uint8 if size == 1 else ">u2", n, at)
     if flat.size < n:
         raise ValueError("image data end early")
+    if n and int(flat.max()) > top:
+        raise ValueError("a sample is above the maximum")
     if top != 255:
         flat = (flat.astype(np.int64) * 255 + top // 2) // top
     return flat.astype(np.uint8).reshape((h, w, 3) if depth == 3 else (h, w))
@@ -93,7 +104,10 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed 1, 4, 8, 24 or 32-bit BMP; grey palettes give (h, w), colours (h, w, 3)."""
+    """Uncompressed 1, 4, 8, 24 or 32-bit BMP; grey palettes give (h, w), colours (h, w, 3).
+
+    Of 32-bit images with masks those of whole bytes are read, in the masks' order.
+    """
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP image")
     num = lambda at, size=4, signed=False: int.from_bytes(data[at : at + size], "little", signed=signed)
@@ -101,17 +115,28 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if num(30) not in (0, 3) or bits not in (1, 4, 8, 24, 32) or w <= 0 or h == 0:
         raise ValueError("unsupported BMP")
     row = (w * bits + 31) // 32 * 4
+    if len(data) < start + row * abs(h):
+        raise ValueError("image data end early")
     raw = np.frombuffer(data, np.uint8, row * abs(h), start).reshape(abs(h), row)
     raw = raw[::-1] if h > 0 else raw
+    if bits == 32 and num(30) == 3:
+        shifts = [{0xFF << k: k // 8 for k in (0, 8, 16, 24)}.get(num(at)) for at in (54, 58, 62)]
+        if None in shifts:
+            raise ValueError("unsupported BMP")
+        return np.ascontiguousarray(raw[:, : w * 4].reshape(abs(h), w, 4)[:, :, shifts])
     if bits > 8:
         return np.ascontiguousarray(raw[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, 2::-1])
     colours = num(46) or 1 << bits
+    if colours > 1 << bits or len(data) < 14 + info + colours * 4:
+        raise ValueError("broken BMP palette")
     palette = np.frombuffer(data, np.uint8, colours * 4, 14 + info).reshape(colours, 4)[:, 2::-1]
     if bits == 8:
         index = raw[:, :w]
     else:
         each = np.unpackbits(raw, axis=1).reshape(abs(h), -1, bits)
         index = (each @ (1 << np.arange(bits)[::-1])).astype(np.uint8)[:, :w]
+    if index.size and int(index.max()) >= colours:
+        raise ValueError("a pixel is beyond the palette")
     out = palette[index]
     grey = (palette == palette[:, :1]).all()
     return np.ascontiguousarray(out[:, :, 0] if grey else out)
@@ -217,7 +242,8 @@ STORED = (
 def store_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = 32) -> DataFrame:
     """Stores every text as an image column, reads the stored bytes back and returns digests of both.
 
-    One row per input row, repeated rows included. The payload's digests come from the decoded pixels.
+    One row per input row, repeated rows included, none for an empty table; null ids stay null, null texts count as
+    empty, equal texts get equal values, other columns aren't read. The payload's digests come from the decoded pixels.
     `feature` is the difference hash; `tile_sha256` names the NPY tile.
     """
 
