@@ -46,17 +46,21 @@ class Shingler:
     def words(self, text: str | None) -> np.ndarray:
         """Hash of each word in order."""
         raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-        n = raw.size
+        return self.runs(self.bytes[raw], (raw == 32) | ((raw >= 9) & (raw <= 13)))
+
+    def runs(self, values: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Hash of each run of `values` between those that are `apart`."""
+        n = values.size
         if n > self.up.size:
             self._grow(max(n, 2 * self.up.size))
         gap = np.ones(n + 2, bool)
-        gap[1:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        gap[1:-1] = apart
         edges = np.flatnonzero(gap[1:] != gap[:-1])
         start, end = edges[::2], edges[1::2]
         if not start.size:
             return np.zeros(0, _U)
         total = np.zeros(n + 1, _U)
-        np.cumsum(self.bytes[raw] * self.up[:n], out=total[1:])
+        np.cumsum(values * self.up[:n], out=total[1:])
         return _mix((total[end] - total[start]) * self.down[start] + (end - start).astype(_U))
 
     def sequence(self, text: str | None) -> np.ndarray:

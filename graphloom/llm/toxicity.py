@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fitting reads about EXAMPLES labelled documents, chosen by hash of the id; equal texts count once. Every word of
-every example is a term, and every example with a word is in the index. A term's weight in a text is
+every example is a term (by a 64-bit hash), and every example with a word is in the index. A term's weight in a text is
 (1 + ln tf) * idf * telling, made to length 1. `telling` grows with the log-likelihood statistic of the term's
 rates under the two labels from FLOOR to 1: without it, a handful of telling words can't stand out among hundreds
 of topic words (the README has figures).
@@ -18,10 +18,9 @@ executors cast. The nearest examples are the evidence.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark import Broadcast
@@ -29,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import drop_scratch, map_columns, materialize, small_batches, unit_hash
+from graphloom.llm.shingles import Shingler
 
-EXAMPLES, K, BLOCK, SPARSE = 8000, 15, 256, 16
+EXAMPLES, K, BLOCK, SPARSE = 6000, 15, 256, 16
 #: Blocks that are read first, for a good lower bound of the k-th similarity.
 SEEDS = 2
 #: Queries whose whole rows are read together.
@@ -44,11 +44,25 @@ EVIDENCE = 3
 #: Similarities are single precision sums: bounds give way by this.
 SLACK = 1e-5
 
-_WORD = re.compile(r"\w+")
+Query = tuple[np.ndarray, np.ndarray]
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Whether each code point belongs to words: letters, digits and `_`."""
+    return np.fromiter((chr(i).isalnum() or i == 95 for i in range(0x110000)), bool, 0x110000)
+
+
+@lru_cache(1)
+def _shingler() -> Shingler:
+    return Shingler(1)
+
+
+def words(text: str | None) -> Query:
+    """Hashes of the distinct lower-case words of a text, ascending, and their counts."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = _shingler().runs((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), ~_letters()[codes])
+    return np.unique(found, return_counts=True)
 
 
 def g_squared(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.ndarray:
@@ -74,7 +88,7 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 class Index:
     """Block-max inverted index of unit vectors; examples are numbered by their heaviest term, then by id."""
 
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray  # ascending hashes of the terms
     weight_of: np.ndarray  # idf * telling of each term
     ids: np.ndarray  # doc_id of each example
     labels: np.ndarray
@@ -87,21 +101,20 @@ class Index:
     entry_start: np.ndarray  # first posting of each entry
     example: np.ndarray
     weight: np.ndarray
-    knots: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     @classmethod
-    def build(cls, bags: list[dict[str, int]], ids: list[int], labels: list[int]) -> Index:
-        """Of bags of words; those without any are left out."""
-        full = [i for i, b in enumerate(bags) if b]
-        place: dict[str, int] = {}
-        terms = np.array([place.setdefault(w, len(place)) for i in full for w in bags[i]], np.int64)
-        tf = np.array([n for i in full for n in bags[i].values()], float)
-        return cls.of(list(place), terms, tf, np.array([len(bags[i]) for i in full], np.int64), np.array([ids[i] for i in full], np.int64), np.array([labels[i] for i in full], float))
+    def build(cls, texts: list[str | None], ids: list[int], labels: list[int]) -> Index:
+        """Of texts; those without words are left out."""
+        found = [words(t) for t in texts]
+        full = [i for i, (w, _) in enumerate(found) if w.size]
+        flat = [np.concatenate([found[i][k] for i in full]) if full else np.zeros(0, np.uint64) for k in (0, 1)]
+        return cls.of(*flat, np.array([found[i][0].size for i in full], np.int64), np.array([ids[i] for i in full], np.int64), np.array([labels[i] for i in full], float))
 
     @classmethod
-    def of(cls, vocabulary: list[str], terms: np.ndarray, tf: np.ndarray, sizes: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> Index:
-        """Of flat postings: the terms of the first example, then those of the second, by `sizes`."""
-        n, v = ids.size, len(vocabulary)
+    def of(cls, hashes: np.ndarray, tf: np.ndarray, sizes: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> Index:
+        """Of flat postings: the words of the first example and their counts, then those of the second, by `sizes`."""
+        vocabulary, terms = np.unique(hashes, return_inverse=True)
+        n, v = ids.size, vocabulary.size
         row = np.repeat(np.arange(n), sizes)
         df, toxic = (np.bincount(terms, w, v) for w in (None, labels[row]))
         g2 = g_squared(toxic, df - toxic, labels.sum(), n - labels.sum())
@@ -132,20 +145,20 @@ class Index:
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if cell.size else np.zeros(0, np.int64)
         entry_max = np.maximum.reduceat(weight, first) if first.size else np.zeros(0, np.float32)
         return cls(
-            dict(zip(vocabulary, range(v), strict=True)), weight_of, ids, labels, float(labels.mean()) if n else 0.0, rows, dense,
+            vocabulary, weight_of, ids, labels, float(labels.mean()) if n else 0.0, rows, dense,
             np.searchsorted(terms[first], np.arange(v + 1)), cell[first] % blocks, entry_max, np.append(first, cell.size), example, weight,
         )
 
-    def unit(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms of a bag of words and their weights, of length 1."""
-        known = [(t, n) for t, n in zip(map(self.vocabulary.get, counts), counts.values(), strict=True) if t is not None]
-        if not known:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        terms, tf = np.array(known, np.int64).T
-        weight = (1 + np.log(tf)) * self.weight_of[terms]
-        return terms, (weight / np.sqrt((weight**2).sum())).astype(np.float32)
+    def unit(self, hashes: np.ndarray, counts: np.ndarray) -> Query:
+        """Known terms of a text's words and their weights, of length 1."""
+        terms = np.searchsorted(self.vocabulary, hashes)
+        terms[terms == self.vocabulary.size] = 0
+        known = self.vocabulary[terms] == hashes if self.vocabulary.size else np.zeros(hashes.size, bool)
+        terms = terms[known]
+        weight = (1 + np.log(counts[known])) * self.weight_of[terms]
+        return terms, (weight / np.sqrt((weight**2).sum() or 1.0)).astype(np.float32)
 
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    def nearest(self, queries: list[Query], k: int = K, without: list[int] | None = None) -> list[Query]:
         """For each query (terms, weights) the k examples of greatest cosine above 0, and these.
 
         Ties go to the first example. Examples of the id `without` are left out. Whole rows are read for all
@@ -168,7 +181,7 @@ class Index:
                 out.append(self._nearest(terms[rare], weight[rare], common[j], tops[j], k, None if without is None else without[i + j]))
         return out
 
-    def _nearest(self, terms: np.ndarray, weight: np.ndarray, score: np.ndarray, tops: np.ndarray, k: int, without: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def _nearest(self, terms: np.ndarray, weight: np.ndarray, score: np.ndarray, tops: np.ndarray, k: int, without: int | None) -> Query:
         """`nearest` of one query's terms with postings; score holds the sums of the others, tops their block maxima."""
         n, blocks = score.size, tops.size
         lo, hi = self.start[terms], self.start[terms + 1]
@@ -208,10 +221,10 @@ class Index:
     def vote(self, near: np.ndarray, similarity: np.ndarray) -> float:
         return float(((similarity * self.labels[near]).sum() + SHRINK * self.base_rate) / (similarity.sum() + SHRINK))
 
-    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> Index:
-        """Pool-adjacent-violators on leave-one-out votes; votes of equal value share a mean."""
+    def calibrated(self, votes: np.ndarray, labels: np.ndarray) -> Query:
+        """Knots (vote, score) of pool-adjacent-violators on leave-one-out votes; equal votes share a mean."""
         if len(set(labels)) < 2:
-            return self
+            return np.array([0.0, 1.0]), np.array([0.0, 1.0])
         at, inverse = np.unique(np.round(votes, 3), return_inverse=True)
         n, hits = np.bincount(inverse), np.bincount(inverse, labels)
         pools: list[list] = []  # hits, rows, values
@@ -222,20 +235,27 @@ class Index:
                 pools[-1] = [pools[-1][0] + h2, pools[-1][1] + m2, pools[-1][2] + v2]
         x = [v for _, _, vs in pools for v in ([vs[0], vs[-1]] if len(vs) > 1 else vs)]
         y = [(h + self.base_rate) / (m + 1) for h, m, vs in pools for _ in range(2 if len(vs) > 1 else 1)]
-        self.knots = (np.array([0.0, *x]), np.maximum.accumulate(np.array([min(self.base_rate, y[0]), *y])))
-        return self
+        return np.array([0.0, *x]), np.maximum.accumulate(np.array([min(self.base_rate, y[0]), *y]))
 
-    def score(self, bags: list[dict[str, int]]) -> list[tuple[float, list[tuple[int, int, float]]]]:
-        """Calibrated score and evidence (doc_id, label, similarity) of each bag of words."""
+    def score(self, texts: list[str | None], knots: Query) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """Calibrated score and evidence (doc_id, label, similarity) of each text."""
         out = []
-        for near, similarity in self.nearest([self.unit(b) for b in bags]):
-            value = float(np.interp(self.vote(near, similarity), *self.knots)) if near.size else self.base_rate
+        for near, similarity in self.nearest([self.unit(*words(t)) for t in texts]):
+            value = float(np.interp(self.vote(near, similarity), *knots)) if near.size else self.base_rate
             evidence = [(int(self.ids[i]), int(self.labels[i]), float(s)) for i, s in zip(near[:EVIDENCE], similarity, strict=False)]
             out.append((min(1.0, max(0.0, value)), evidence))
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Broadcast[Index]:
+@dataclass
+class Fitted:
+    """An index that executors have, and the knots of its calibration."""
+
+    index: Broadcast
+    knots: Query
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
     """Index of about `examples` rows of `labels` (doc_id, toxic 0/1) with their texts in `docs`, sent to executors.
 
     Rows with a null doc_id or other labels are left out, as are ids without a text or a word. A document with
@@ -251,17 +271,18 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Broadca
     single = rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
 
     def bags(cols: dict[str, list]) -> dict[str, list]:
-        found = [Counter(words(t)) for t in cols["text"]]
-        return {"words": [list(b) for b in found], "counts": [list(b.values()) for b in found]}
+        found = [words(t) for t in cols["text"]]
+        return {"words": [w.view(np.int64) for w, _ in found], "counts": [n.astype(np.int32) for _, n in found]}
 
-    made = map_columns(single, bags, "words array<string>, counts array<int>", ("doc_id", "toxic"))
+    made = map_columns(single, bags, "words array<long>, counts array<int>", ("doc_id", "toxic"))
     made = materialize(made.where(F.size("words") > 0), "examples")
     local = made.orderBy("doc_id", "toxic").toArrow()
-    flat = local.column("words").combine_chunks().flatten().dictionary_encode()
+    flat = {c: local.column(c).combine_chunks() for c in ("words", "counts")}
     index = Index.of(
-        flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64), local.column("counts").combine_chunks().flatten().to_numpy().astype(float),
-        local.column("counts").combine_chunks().value_lengths().to_numpy().astype(np.int64), local.column("doc_id").to_numpy(), local.column("toxic").to_numpy().astype(float),
+        flat["words"].flatten().to_numpy().view(np.uint64), flat["counts"].flatten().to_numpy().astype(float), flat["counts"].value_lengths().to_numpy().astype(np.int64),
+        local.column("doc_id").to_numpy(), local.column("toxic").to_numpy().astype(float),
     )
+    del local, flat
     sent = spark.sparkContext.broadcast(index)
     small_batches(spark)
 
@@ -270,32 +291,31 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Broadca
 
         index = sent.value
         for batch in batches:
-            ids, own, counts = (batch.column(k).to_pylist() for k in (0, 2, 3))
-            queries = [index.unit(dict(zip(w, c, strict=True))) for w, c in zip(own, counts, strict=True)]
-            cast = [index.vote(*x) for x in index.nearest(queries, without=ids)]
+            own = zip(batch.column(2), batch.column(3), strict=True)
+            queries = [index.unit(w.values.to_numpy().view(np.uint64), n.values.to_numpy()) for w, n in own]
+            cast = [index.vote(*x) for x in index.nearest(queries, without=batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(cast, pa.float64()), batch.column(1)], ["vote", "toxic"])
 
     # at most `examples` pairs of numbers
     cast = made.select("doc_id", "toxic", "words", "counts").repartition(spark.sparkContext.defaultParallelism).mapInArrow(votes, "vote double, toxic int").toArrow()
-    index.calibrate(cast.column("vote").to_numpy(), cast.column("toxic").to_numpy().astype(float))
+    knots = index.calibrated(cast.column("vote").to_numpy(), cast.column("toxic").to_numpy().astype(float))
     drop_scratch(made)
-    sent.unpersist()
-    return spark.sparkContext.broadcast(index)
+    return Fitted(sent, knots)
 
 
-def score(docs: DataFrame, fitted: Broadcast[Index]) -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """(doc_id, score, predicted, evidence) for every row of `docs` (doc_id, text); other columns aren't read.
 
     score is 0 to 1, predicted 1 from THRESHOLD on, evidence the nearest examples (doc_id, toxic, similarity), ties
     by their order in the index. Null texts, empty ones and those without any word of an example score the rate
     of toxic examples, without evidence. Repeated rows and equal texts get equal results.
     """
+    sent, knots = fitted.index, fitted.knots
 
     def compute(cols: dict[str, list]) -> dict[str, list]:
-        index = fitted.value
         place: dict[str, int] = {}
         of = [place.setdefault(t or "", len(place)) for t in cols["text"]]  # equal texts are scored once
-        found = index.score([Counter(words(t)) for t in place])
+        found = sent.value.score(list(place), knots)
         evidence = [[{"doc_id": d, "toxic": y, "similarity": s} for d, y, s in e] for _, e in found]
         return {"score": [found[i][0] for i in of], "predicted": [int(found[i][0] >= THRESHOLD) for i in of], "evidence": [evidence[i] for i in of]}
 
