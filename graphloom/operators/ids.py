@@ -23,12 +23,17 @@ def first_of(df: DataFrame, keys: list[str], order: list[str], columns: list[str
 def running(df: DataFrame, keys: list[str], block: Column, order: list[str], amount: str, alias: str) -> DataFrame:
     """`df` with the sum of `amount` over its group up to and including the row.
 
-    `block` must not fall along `order`; only rows of one block are sorted together.
+    `block` must not fall along `order`; only rows of one block are sorted together. Null keys are a group.
     """
     marked = df.withColumn("_block", block)
     blocks = marked.groupBy(*keys, "_block").agg(F.sum(amount).alias("_sum"))
     along = Window.partitionBy(*keys).orderBy("_block")
     earlier = blocks.select(*keys, "_block", (F.sum("_sum").over(along) - F.col("_sum")).alias("_before"))
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = marked.join(earlier, [*keys, "_block"])
+    own = [*keys, "_block"]
+    renamed = earlier.select(*(F.col(c).alias(f"_own_{c}") for c in own), "_before")
+    match = F.lit(True)
+    for c in own:
+        match &= F.col(c).eqNullSafe(F.col(f"_own_{c}"))
+    joined = marked.join(renamed, match).drop(*(f"_own_{c}" for c in own))
     return joined.withColumn(alias, F.col("_before") + F.sum(amount).over(inside)).drop("_block", "_before")

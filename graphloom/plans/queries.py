@@ -6,41 +6,28 @@ and gives the same columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import lexical
 from graphloom.operators import closure, graphs, ids, lists, resolve
 from graphloom.operators.tokens import instances, tokens
+from graphloom.plans import converted, registry  # noqa: F401  converted registers its queries
+from graphloom.plans.registry import Query, query
 from graphloom.sources.spf import assemble
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__], _ORACLES[f.__name__] = f, sql
-        return f
-
-    return register
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query("""
-    WITH l AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN '#' ELSE ' ' END || length(text) || CASE role WHEN 'assistant' THEN ';' ELSE '' END AS line FROM conversations),
+    WITH l AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN '#' ELSE ' ' END || translate(text, ';' || chr(10) || chr(13), ',  ') || CASE role WHEN 'assistant' THEN ';' ELSE '' END AS line FROM conversations),
     s AS (SELECT *, coalesce(sum(CASE WHEN contains(line, ';') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM l),
     b AS (SELECT *, max(CASE WHEN line LIKE '#%' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, seg ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS begun FROM s)
     SELECT conv_id, CAST(seg AS BIGINT) AS ord, string_agg(trim(line), '' ORDER BY turn) AS text FROM b WHERE begun = 1 GROUP BY conv_id, seg""")
 def statement_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = _table(spark, sf_dir, "conversations")
-    line = F.concat(F.when(F.col("role") == "user", "#").otherwise(" "), F.length("text").cast("string"), F.when(F.col("role") == "assistant", ";").otherwise(""))
+    line = F.concat(F.when(F.col("role") == "user", "#").otherwise(" "), F.translate("text", ";\n\r", ",  "), F.when(F.col("role") == "assistant", ";").otherwise(""))
     return assemble(talk.select("conv_id", "turn", line.alias("line")), ("conv_id",), ("turn",))
 
 
@@ -362,8 +349,9 @@ def diagnostics_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    """Those of this module and of `converted`."""
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: " ".join(sql.split()) for name, sql in _ORACLES.items()}
+    return dict(registry.ORACLES)
