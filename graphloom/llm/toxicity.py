@@ -35,8 +35,10 @@ EXAMPLES, K, BLOCK, SPARSE = 6000, 15, 256, 16
 SEEDS = 2
 #: Queries whose whole rows are read together.
 GROUP = 64
-#: Statistic at which a term has half its full weight, and the weight of a term that tells nothing.
-HALF, FLOOR = 30.0, 0.01
+#: Statistic that chance exceeds once in a thousand terms, excess over it at which a term has half its full weight,
+#: and the weight of a term that tells nothing. Without the first, an example's own rare words, counted with its own
+#: label, would tell something, and leave-one-out votes would be better than those of new texts.
+CHANCE, HALF, FLOOR = 10.83, 30.0, 0.01
 #: Weight of the rate of all examples in a vote; score from which a document counts as toxic.
 SHRINK, THRESHOLD = 0.1, 0.3
 #: Neighbours returned as evidence.
@@ -117,8 +119,8 @@ class Index:
         n, v = ids.size, vocabulary.size
         row = np.repeat(np.arange(n), sizes)
         df, toxic = (np.bincount(terms, w, v) for w in (None, labels[row]))
-        g2 = g_squared(toxic, df - toxic, labels.sum(), n - labels.sum())
-        weight_of = (np.log((n + 1) / (df + 1)) + 1) * (FLOOR + g2 / (g2 + HALF))
+        excess = np.maximum(g_squared(toxic, df - toxic, labels.sum(), n - labels.sum()) - CHANCE, 0)
+        weight_of = (np.log((n + 1) / (df + 1)) + 1) * (FLOOR + excess / (excess + HALF))
         weight = (1 + np.log(tf)) * weight_of[terms]
         weight = weight / np.sqrt(np.bincount(row, weight**2, n))[row]
         # examples by heaviest term: a block's members are alike, and its bounds tight
@@ -242,7 +244,7 @@ class Index:
         out = []
         for near, similarity in self.nearest([self.unit(*words(t)) for t in texts]):
             value = float(np.interp(self.vote(near, similarity), *knots)) if near.size else self.base_rate
-            evidence = [(int(self.ids[i]), int(self.labels[i]), float(s)) for i, s in zip(near[:EVIDENCE], similarity, strict=False)]
+            evidence = [(int(self.ids[i]), int(self.labels[i]), min(1.0, float(s))) for i, s in zip(near[:EVIDENCE], similarity, strict=False)]
             out.append((min(1.0, max(0.0, value)), evidence))
         return out
 

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from graphloom.llm import html
 from graphloom.llm.common import table
@@ -23,6 +25,7 @@ def test_odd_pages(spark):
     assert html.main_text(None) == html.main_text("") == html.main_text("<p>") == html.main_text("<script>x") == ""
     assert html.main_text("just text") == "just text"
     assert html.main_text("<article><p>cut &am") == "cut &am" and html.main_text("<article><p>cut <b") == "cut"
+    assert html.main_text("<div id='comments'><p>" + "First! " * 40 + "</p></div>") == html.main_text("<div class='cookie-notice'>We use cookies</div>") == ""
     assert html.main_text("<article>1 < 2 and <!-- no --> yes</article>") == "1 < 2 and yes"
     assert len(html.main_text("<main>" + "<p>x</p>" * 5000)) == 5000 + 2 * 4999
     assert html.main_text("<article>" + "<div>" * 3000 + "deep") == "deep"
@@ -34,15 +37,63 @@ def test_odd_pages(spark):
 def test_names_on_wrappers():
     assert html.main_text("<div class='page has-sidebar'><p>text of the page</p><div class='sidebar'>side</div></div>") == "text of the page"
     assert html.main_text("<div class='widget'><article><p>kept</p></article></div>") == "kept"
-    assert html.main_text("<p hidden>no</p><p>yes</p><div style='display: none'>no</div>") == "yes"
+    assert html.main_text("<form id='f'><div class='menu-wrapper'><article><p>kept</p></article></div></form><p>out</p>") == "kept"
+    assert html.main_text("<div class='post social-history'><p>A history of it.</p></div>") == "A history of it."
+
+
+def test_hidden_and_quotes():
+    assert html.main_text("<p hidden>no</p><p>yes</p><div style='display: none'>no</div><p aria-hidden=true>no</p>") == "yes"
+    assert html.main_text("<p style='overflow:hidden'>a</p><p title='the hidden gem'>b</p><p style='x:y; VISIBILITY:hidden'>no</p>") == "a\n\nb"
+    assert html.main_text("<p>a</p><div title=\"5\" tall\">b</div><a href='x>link</a> I don't") == "a\n\nb\n\nlink I don't"
+    assert html.main_text("<article><p title='a > b' class=x>c</p></article>") == "c"
+
+
+def test_malformed_pages_take_linear_time():
+    for part in ("<a b='x ", "<p>x</p><x", '<a b="', "</b></p>"):
+        began = time.time()
+        html.main_text(part * 20_000)
+        assert time.time() - began < 20
 
 
 def test_region():
     assert html.between([0, 5, 0, 0, 0, 100, 50, 0, 3, 0, 0, 0, 9], 3, 120) == (5, 9)
     assert html.between([0, 5, 0, 7], 3, 120) == (1, 4) and html.between([], 3, 120) == (0, 0)
+    assert html.regions([9, 9, 9, 200, 0, 0, 0, 4], 3, 120) == [(0, 4)]  # short lines before the surge belong to it
     assert html.distribution([1, 2, 3, 4], 2) == [3, 5, 7, 4]
 
 
+def brute_regions(lengths, window, surge):
+    """Lines with text fall apart where `window` empty ones lie between; parts with a surge are regions."""
+    parts, last = [], None
+    for k, x in enumerate(lengths):
+        if x:
+            if last is None or k - last > window:
+                parts.append([k, k])
+            parts[-1][1] = last = k
+    return [(i, j + 1) for i, j in parts if any(lengths[k] and sum(lengths[k : k + window]) >= surge for k in range(i, j + 1))]
+
+
+def test_regions_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(500):
+        lengths = [rng.choice((0, 0, 0, 3, 20, 60, 150)) for _ in range(rng.randrange(30))]
+        assert html.regions(lengths, 3, 120) == brute_regions(lengths, 3, 120)
+
+
+def test_the_distribution_decides_on_named_pages_too():
+    page = "<p>Teaser that is long enough to surge all alone, since it has more than one hundred and twenty characters, one would think.</p><article><h1>H</h1><aside><p>a</p><p>b</p><p>c</p><p>d</p></aside><p>Short.</p></article><p>after</p>"
+    found, _ = html.parse(page)
+    lengths = html.lengths_of(found)
+    assert [x.text for x, n in zip(found, lengths) if n] == ["H", "Short."] and min(n for n in lengths if n) > html.SURGE
+    assert len(html.regions(lengths)) == 2 and html.main_text(page) == "H\n\nShort."
+
+
+def test_unnamed_pages_of_the_table(spark):
+    for r in table(spark, "/root/testdata/sf0.001", "pages").collect():
+        bare = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html.main_text(bare) == html.main_text(r["html"])
+
+
 def test_whole_table_against_articles(spark):
     import html as std
 

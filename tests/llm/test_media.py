@@ -59,6 +59,28 @@ def test_other_formats():
             media.decode(bad)
 
 
+def test_broken_images_are_value_errors(spark):
+    good = media.encode_bmp(np.arange(6, dtype=np.uint8).reshape(2, 3))
+    short = good[:46] + (2).to_bytes(4, "little") + good[50:]  # a palette of two colours, pixels beyond it
+    masked = bytearray(media.encode_bmp(np.zeros((1, 1, 3), np.uint8)))
+    masked[28:30], masked[30:34] = (32).to_bytes(2, "little"), (3).to_bytes(4, "little")
+    bad = [short, good[:-5], b"P2\n1 1\n255\n99999999999999999999", b"P2\n1 1\n0\n0", b"P2\n1 1\n9\n10", b"P1\n2 1\n0 7", b"P4\n9 9\n\0", b"P5\n9999999 9999999\n255\n", b"P3\n1 1\n255\n1 x 2", bytes(masked)]
+    for data in bad:
+        with pytest.raises(ValueError):
+            media.decode(data)
+    df = spark.createDataFrame(list(enumerate([*bad, media.encode_netpbm(np.zeros((2, 2), np.uint8))])), "k long, m binary")
+    rows = {r["k"]: r for r in media.media_features(df, "k", "m", 4).collect()}
+    assert all(rows[i]["error"] and rows[i]["tile"] is None for i in range(len(bad))) and rows[len(bad)]["error"] is None
+
+
+def test_masks_of_32_bit_images():
+    pixels = np.array([[[1, 2, 3], [4, 5, 6]]], np.uint8)
+    body = b"".join(bytes((0, r, g, b)) for r, g, b in pixels[0].tolist())
+    ints = lambda size, *xs: b"".join(x.to_bytes(size, "little") for x in xs)
+    data = b"BM" + ints(4, 66 + len(body), 0, 66) + ints(4, 40, 2, 1) + ints(2, 1, 32) + ints(4, 3, len(body), 0, 0, 0, 0) + ints(4, 0xFF00, 0xFF0000, 0xFF000000) + body
+    assert (media.decode(data) == pixels).all()
+
+
 def test_area_resize_against_means():
     pixels = np.arange(36, dtype=np.uint8).reshape(6, 6)
     assert np.allclose(media.area_resize(pixels, 3, 2), [[pixels[2 * i : 2 * i + 2, 3 * j : 3 * j + 3].mean() for j in range(2)] for i in range(3)])

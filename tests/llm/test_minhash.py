@@ -75,6 +75,13 @@ def test_null_repeated_and_empty(spark):
         minhash.near_duplicates(df, percent=50)
 
 
+def test_one_id_with_several_texts(spark):
+    t, u, v = ("a b c d e f", "u v w x y z", "u v w x y Z")
+    df = spark.createDataFrame([(1, t), (5, u), (5, t), (5, v), (5, u), (6, None), (6, ""), (6, None)], "doc_id long, text string")
+    kept = sorted((r["doc_id"], str(r["text"]).lower()) for r in minhash.keep_one(df).collect())
+    assert kept == [(1, t), (5, u), (6, ""), (6, "none")]
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]

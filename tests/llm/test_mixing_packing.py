@@ -24,9 +24,10 @@ def brute_targets(sizes):
     return target
 
 
-@pytest.mark.parametrize("bins", [4096, 3])
-def test_mix_against_brute_force(spark, monkeypatch, bins):
+@pytest.mark.parametrize(("bins", "plan_rows"), [(4096, 20_000), (3, 1)])
+def test_mix_against_brute_force(spark, monkeypatch, bins, plan_rows):
     monkeypatch.setattr(mixing, "BINS", bins)
+    monkeypatch.setattr(mixing, "PLAN_ROWS", plan_rows)
     rng = random.Random(2)
     texts = ODD + [prose(i, rng.randrange(1, 80)) for i in range(150)]
     sources = [rng.choice(["a", "a", "a", "b", "ß", "z", None, "c", "tiny"]) if i < 160 else "solo" for i in range(len(texts))]

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from graphloom.llm import secrets
 
@@ -51,6 +53,39 @@ def test_models_tell_random_strings_from_names(spark):
     assert row["spans"] == f"random:4:{4 + len(RANDOM)}"
 
 
+def test_random_spans_against_brute_force(spark):
+    rng = random.Random(8)
+    token = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    texts = [*ODD, *SECRETS, token(letters, 24), f"é {token(letters + digits, 18)} 🙂 {token(letters, 30)}", "-" * 40, token(digits, 30), "ordinary_name_of_a_thing/and-another", f"token={token(letters, 20)} {token(letters, 15)}"]
+    df = documents(spark, texts)
+    samples = secrets.random_samples(spark).union(secrets.identifier_samples(documents(spark, [prose(i, 200) for i in range(40)])))
+    model = secrets.train(samples)
+    rows = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(df, samples)).collect()}
+    for i, text in enumerate(texts):
+        base = [(a, b) for a, _, _, b in brute_base(text or "")]
+        expected = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text or ""):
+            ratio = sum(model[a + b] for a, b in zip(m[0], m[0][1:])) / (len(m[0]) - 1)
+            if re.search("[A-Za-z]", m[0]) and ratio > secrets.MARGIN and not any(a < m.end() and m.start() < b for a, b in base):
+                expected.append(f"random:{m.start()}:{m.end()}")
+        assert [s for s in rows[i].split(",") if s.startswith("random")] == expected, text
+    assert rows[len(ODD) + len(SECRETS)].startswith("random:0:24")  # letters alone are judged
+    assert secrets.digest(secrets.scan(df.union(df), samples)).distinct().count() == len(texts) and secrets.scan(df.limit(0), samples).count() == 0
+
+
+def test_many_spans_in_one_text(spark):
+    runs = [hashlib.md5(str(i).encode()).hexdigest() for i in range(100_000)]
+    df = spark.createDataFrame([(1, " ".join(runs))], "doc_id long, text string")
+    samples = secrets.random_samples(spark, 200).union(secrets.name_samples(spark, 200))
+    began = time.time()
+    row = secrets.digest(secrets.scan(df, samples)).first()
+    spans = ",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(len(runs)))
+    assert row["n_hex"] == len(runs) and row["spans"] == spans and row["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+    assert secrets.redact(df, samples=samples).first()["text"] == " ".join(["[SECRET]"] * len(runs))
+    assert time.time() - began < 120
+
+
 def test_redact(spark):
     texts = [None, "clean text", SECRETS[0], f"a {HEX} b password={HEX}."]
     df = documents(spark, texts)
