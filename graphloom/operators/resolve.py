@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.scratch import materialize
+
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of greatest `order` for each key."""
@@ -14,8 +16,12 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def canonical(df: DataFrame, group: list[str], key: str, alias: str = "canonical") -> DataFrame:
-    """Every row with the least `key` among the rows equal in `group`, nulls being equal. One pass, nothing is merged again."""
-    least = df.groupBy(*[F.col(c).alias(f"_group_{c}") for c in group]).agg(F.min(key).alias(alias))
+    """Every row with the least `key` among the rows equal in `group`, nulls being equal. One pass, nothing is merged again.
+
+    The least keys are written first: both sides of the join are plain shuffles then, and adaptive execution can
+    split the partition of a group that holds a great part of all rows.
+    """
+    least = materialize(df.groupBy(*[F.col(c).alias(f"_group_{c}") for c in group]).agg(F.min(key).alias(alias)), "least")
     match: Column = F.lit(True)
     for c in group:
         match &= F.col(c).eqNullSafe(F.col(f"_group_{c}"))

@@ -33,14 +33,15 @@ ID_BLOCK = 1 << 16
 
 @dataclass
 class Conversion:
-    """A conversion and its tables. Instances, events, status and numbered are written to the shared folder when
-    they are first asked for, which ends their lineage; the others are lazy plans over these.
+    """A conversion and its tables. Parsed statements, schemas, instances, events, status and numbered are written to
+    the shared folder when they are first asked for, which ends their lineage and reads each file twice in all; the
+    others are lazy plans over these.
 
     remove_duplicates: instances of equal text after the number become the first of them.
     """
 
     statements: DataFrame  # file, ord, text
-    schemas: DataFrame  # file, schema
+    sniffed: DataFrame  # file, schema
     catalogs: dict[str, Catalog]
     base: str
     remove_duplicates: bool = False
@@ -49,10 +50,20 @@ class Conversion:
     def spark(self) -> SparkSession:
         return self.statements.sparkSession
 
+    @cached_property
+    def parsed(self) -> DataFrame:
+        """file, ord, line_num, name, raw, text of every statement."""
+        return materialize(instances(self.statements), "parsed")
+
+    @cached_property
+    def schemas(self) -> DataFrame:
+        """file, schema."""
+        return materialize(self.sniffed, "schemas")
+
     @cached_property
     def instances(self) -> DataFrame:
         """file, line_num, ord, name, raw, text, schema; one row a line number."""
-        parsed = instances(self.statements).where("line_num is not null")
+        parsed = self.parsed.where("line_num is not null")
         return materialize(resolve.last_wins(parsed, ["file", "line_num"], ["ord"]).join(self.schemas, "file"), "instances")
 
     @cached_property
@@ -124,8 +135,7 @@ class Conversion:
         fresh = F.col("first_line").isNull() | (F.col("first_line") == F.col("line_num")) & (F.col("first_step") == F.col("step"))
         marked = marked.withColumn("fresh", fresh).withColumn("takes", fresh.cast("long"))
         summed = ids.running(marked, ["file"], F.floor(F.col("line_num") / ID_BLOCK), ["line_num", "step"], "takes", "upto")
-        numbers = instances(self.statements)
-        placed = summed.join(ids.seed(numbers, ["file"], "line_num"), "file").withColumn("id", F.col("seed") + F.col("upto") - 1)
+        placed = summed.join(ids.seed(self.parsed, ["file"], "line_num"), "file").withColumn("id", F.col("seed") + F.col("upto") - 1)
         own = placed.where("fresh and kind = 'literal'").select("file", F.col("line_num").alias("first_line"), F.col("step").alias("first_step"), F.col("id").alias("first_id"))
         joined = placed.join(own, ["file", "first_line", "first_step"], "left")
         return materialize(joined.select("file", "line_num", "step", "kind", F.coalesce("first_cls", "cls").alias("cls"), "xsd", "lexical", F.coalesce("first_id", "id").alias("id"), "fresh"), "numbered")
@@ -180,7 +190,7 @@ class Conversion:
 
     def release(self) -> None:
         """Deletes the written tables; plans over them can't run any more, new ones write them again."""
-        for name in ("instances", "events", "status", "numbered"):
+        for name in ("parsed", "schemas", "instances", "events", "status", "numbered"):
             if name in self.__dict__:
                 drop_scratch(self.__dict__[name])
         for name in [n for n, x in vars(type(self)).items() if isinstance(x, cached_property)]:

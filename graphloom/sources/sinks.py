@@ -93,10 +93,23 @@ def write_turtle(conversion: Conversion, target: Callable[[str], str]) -> list[s
     return written
 
 
+def turtle_files(conversion: Conversion) -> DataFrame:
+    """(name, at, block) of whole Turtle files: the header of each file with a catalog, then its blocks by `at`.
+
+    name is the last part of the file's address and a digest of all of it, so equal names of different folders
+    stay apart. A file that doesn't convert keeps the header alone.
+    """
+    heads = conversion.spark.createDataFrame([(s, header(conversion.base, c.ontology)) for s, c in conversion.catalogs.items()], "schema string, block string")
+    blocks = turtle(conversion)
+    first = conversion.schemas.join(F.broadcast(heads), "schema").select("file", F.lit(None).cast(blocks.schema["at"].dataType).alias("at"), "block")
+    stem = F.regexp_replace(F.substring_index("file", "/", -1), r"[^A-Za-z0-9._-]", "_")
+    return first.unionByName(blocks).select(F.concat(stem, F.lit("-"), F.substring(F.sha2("file", 256), 1, 16)).alias("name"), "at", "block")
+
+
 def write_turtle_folders(conversion: Conversion, path: str) -> None:
-    """Text files of blocks in a folder for each input file, written by the executors."""
-    name = F.regexp_replace(F.substring_index("file", "/", -1), r"[^A-Za-z0-9._-]", "_")
-    turtle(conversion).withColumn("name", name).repartition("name").sortWithinPartitions("name", "at").select("name", F.col("block").alias("value")).write.partitionBy("name").text(path)
+    """A valid Turtle file in a folder for each input file, written by the executors."""
+    rows = turtle_files(conversion).repartition("name").sortWithinPartitions("name", F.col("at").asc_nulls_first())
+    rows.select("name", F.col("block").alias("value")).write.partitionBy("name").option("maxRecordsPerFile", 0).text(path)
 
 
 def write_parquet(conversion: Conversion, path: str) -> None:
