@@ -5,7 +5,7 @@ over it, on the driver, chooses the bucket boundaries that minimise padding. Ins
 as many sequences as fit a budget of padded tokens.
 
 Texts longer than `max_len` tokens are cut into pieces, none is dropped. Ranks inside a bucket come from
-prefix sums of shard counts, so a bucket with most of the rows is never sorted in one task, and all batches of
+prefix sums of shard counts (shards by MD5 of id and piece), so a bucket with most of the rows is never sorted in one task, and all batches of
 a bucket but its last are full.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, word_count
+from graphloom.llm.common import materialize, unit_digest, word_count
 
 #: Longest sequence, number of buckets, padded tokens of a batch, rows of a shard.
 MAX_LEN, BUCKETS, BUDGET, SHARD_ROWS = 2048, 16, 16384, 5000
@@ -85,7 +85,7 @@ def pack(lengths: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, bud
     placed = pieces.withColumns({
         "bucket": F.when(F.col("length") > 0, bucket).cast("int"),
         "bucket_len": F.when(F.col("length") > 0, size).cast("int"),
-        "shard": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)),
+        "shard": F.floor(unit_digest("doc_id", "piece", seed=3) * shards).cast("long"),
     })
     counts = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     # prefix sums of shard counts: within blocks of shards, then over the blocks
@@ -96,7 +96,7 @@ def pack(lengths: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, bud
     inside = inside.withColumn("inside", F.sum("n").over(Window.partitionBy("bucket", "block").orderBy("shard")) - F.col("n"))
     offsets = inside.alias("x").join(earlier.alias("y"), F.col("x.bucket").eqNullSafe(F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")))
     offsets = offsets.select(F.col("x.bucket").alias("b"), F.col("x.shard").alias("s"), (F.col("inside") + F.col("before_block")).alias("offset"))
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece")) - 1)
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "n_tokens")) - 1)
     joined = ranked.join(offsets, F.col("bucket").eqNullSafe(F.col("b")) & (F.col("shard") == F.col("s")))
     room = F.greatest(F.floor(F.lit(budget) / F.col("bucket_len")), F.lit(1))
     batch = F.when(F.col("bucket").isNotNull(), F.floor((F.col("offset") + F.col("rank")) / room).cast("long"))

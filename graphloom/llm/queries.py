@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OPERATORS}
 
 
+#: The dynamic program over the histogram, one bucket more a step; ranks of a bucket in the order of its shards.
+_OP3 = r"""
+    WITH RECURSIVE t AS (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents),
+    p AS (SELECT doc_id, n_tokens, CAST(unnest(range(0, greatest((n_tokens + {max_len} - 1) // {max_len}, 1))) AS INTEGER) AS piece FROM t),
+    q AS (SELECT *, CAST(piece AS BIGINT) * {max_len} AS start, least({max_len}, n_tokens - CAST(piece AS BIGINT) * {max_len}) AS length FROM p),
+    g AS (SELECT length AS l, count(*) AS n FROM q WHERE length > 0 GROUP BY length),
+    h AS (SELECT l, row_number() OVER (ORDER BY l) AS j, CAST(sum(n) OVER (ORDER BY l) AS BIGINT) AS rows, CAST(sum(n * l) OVER (ORDER BY l) AS BIGINT) AS tokens FROM g),
+    m AS (SELECT least({buckets}, count(*)) AS k, max(j) AS last, greatest(1, (max(rows) + {shard_rows} - 1) // {shard_rows}) AS shards FROM h),
+    d(k, j, cost, bounds) AS (SELECT 1, j, l * rows - tokens, [l] FROM h
+        UNION ALL SELECT k, j, min(cost), arg_min(bounds, cost * 4096 + i) FROM (
+            SELECT d.k + 1 AS k, b.j, a.j AS i, d.cost + b.l * (b.rows - a.rows) - (b.tokens - a.tokens) AS cost, list_append(d.bounds, b.l) AS bounds
+            FROM d JOIN h a ON a.j = d.j JOIN h b ON b.j > a.j WHERE d.k < (SELECT k FROM m)) GROUP BY k, j),
+    o AS (SELECT d.bounds, m.shards FROM d JOIN m ON d.k = m.k AND d.j = m.last),
+    c AS (SELECT q.*, CASE WHEN length > 0 THEN len(list_filter(bounds, lambda b: b < length)) END AS bucket, bounds,
+        floor((CAST(CAST('0x' || substr(md5('3:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || piece), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 * shards) AS shard FROM q LEFT JOIN o ON true),
+    r AS (SELECT *, bounds[bucket + 1] AS bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY shard, doc_id NULLS FIRST, piece, n_tokens) - 1 AS rank FROM c)
+    SELECT doc_id, n_tokens, piece, start, length, CAST(bucket AS INTEGER) AS bucket, CAST(bucket_len AS INTEGER) AS bucket_len,
+        CASE WHEN length > 0 THEN CAST(rank // greatest({budget} // bucket_len, 1) AS BIGINT) END AS batch FROM r"""
+
 #: Exact keys, water-filling by windows, and one prefix sum a source.
 _OP4 = r"""
     WITH q AS (SELECT doc_id, min(CASE quality WHEN 0 THEN 0.5 WHEN 1 THEN 2.0 END) AS w FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
@@ -123,7 +143,12 @@ def _op8() -> str:
     return _OP8.replace("{common}", common).replace("{near_e}", _near_sql("a", "e")).replace("{near_b}", _near_sql("a", "b"))
 
 
+def _op3() -> str:
+    sizes = {"max_len": packing.MAX_LEN, "buckets": packing.BUCKETS, "shard_rows": packing.SHARD_ROWS, "budget": packing.BUDGET}
+    return reduce(lambda sql, x: sql.replace(f"{{{x[0]}}}", str(x[1])), sizes.items(), _OP3)
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL where it can express the operator: fitted models, digests of images and dynamic programs it can't."""
-    found = {"op4_mixing": _OP4, "op7_minhash": _OP7, "op8_spotsigs": _op8()}
+    """SQL where it can express the operator: fitted models and digests of images it can't."""
+    found = {"op3_packing": _op3(), "op4_mixing": _OP4, "op7_minhash": _OP7, "op8_spotsigs": _op8()}
     return {name: " ".join(sql.split()) for name, sql in found.items()}
