@@ -12,7 +12,9 @@
 5. A bucket whose members are still in more than one component may hide a link that no star edge showed. Its
    members meet across components in groups of at most two blocks of BLOCK members, where signatures and
    hashed sets find the links that join components; a group reports fewer links than it has members, never
-   its pairs. These are verified on full sets, and components are taken again.
+   its pairs. Members of the bucket's greatest component have blocks of their own, which meet the other members'
+   blocks alone, so few stragglers of a great group cost few copies of it. Links are verified on full sets, and
+   components are taken again.
 
 One bucket, class or component may hold a third of all rows: what is aggregated by such a key is written before rows
 are joined to it, so that both sides of the join are plain shuffles, whose skewed partitions adaptive execution splits.
@@ -257,12 +259,19 @@ def _compare(percent: int):
 def _hidden_links(members: DataFrame, percent: int) -> DataFrame:
     """Likely links (a, b) across components within buckets.
 
-    members: (key, band, set_key, component, n, n_shingles, bands, signature, items). A bucket of n members
-    is dealt by hash into ceil(n / BLOCK) blocks; a group holds two blocks.
+    members: (key, band, set_key, component, n, top, n_top, n_shingles, bands, signature, items). The n_top members
+    of a bucket's greatest component, top, and its n - n_top other members are dealt by hash into blocks of about
+    BLOCK, the others' first; a group holds two blocks, one of the others at least. A bucket of up to BLOCK members
+    is one block.
     """
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    great = F.col("n") > BLOCK
+    others = F.when(great, F.ceil((F.col("n") - F.col("n_top")) / F.lit(BLOCK))).otherwise(1).cast("int")
+    greatest = F.when(great, F.ceil(F.col("n_top") / F.lit(BLOCK))).otherwise(0).cast("int")
+    dealt = members.withColumns({"others": others, "greatest": greatest, "is_top": great & (F.col("component") == F.col("top"))})
+    hashed = F.xxhash64("set_key")
+    own = F.when(F.col("is_top"), F.col("others") + F.pmod(hashed, "greatest")).otherwise(F.pmod(hashed, "others")).cast("int")
+    meets = F.col("others") + F.when(F.col("is_top"), 0).otherwise(F.col("greatest")) - 1
+    dealt = dealt.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), meets)).alias("other"))
     names = ("key", "i", "j", "own", "band", "set_key", "component", "n_shingles", "bands", "signature", "items")
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select(*names)
     groups = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -303,13 +312,15 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
     placed = shared.where("n > 2").join(found, "set_key", "left").select("key", "band", "set_key", "n", own)
     spread = materialize(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"), "spread")
     apart = materialize(placed.join(spread.select("key"), "key", "left_semi"), "apart")
-    hidden = apart.join(classes.drop("doc_id"), "set_key").join(sets, "set_key")
+    sizes = apart.groupBy("key", "component").agg(F.count("*").alias("n_top"))
+    tops = materialize(sizes.groupBy("key").agg(F.max(F.struct("n_top", F.col("component").alias("top"))).alias("most")).select("key", "most.*"), "tops")
+    hidden = apart.join(tops, "key").join(classes.drop("doc_id"), "set_key").join(sets, "set_key")
     extra = materialize(_hidden_links(_cut_short(hidden), percent), "hidden")
     if not extra.isEmpty():
         more = _verified(extra, sets, percent)
         if not more.isEmpty():
             found = materialize(connected_components(links.union(more)), "components").withColumnRenamed("node", "set_key")
-    for done in (heads, shared, sets, spread, apart):
+    for done in (heads, shared, sets, spread, apart, tops):
         drop_scratch(done)
 
     places = classes.select("set_key", "doc_id").join(found, "set_key", "left").select("set_key", "doc_id", own)
