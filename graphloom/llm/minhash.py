@@ -42,7 +42,7 @@ SIGNATURE_SHARE = 0.58
 BLOCK = 1024
 
 _U = np.uint64
-SKETCH = "n_shingles long, set_key string, bands array<long>, signature binary"
+SKETCH = "n_shingles long, set_key binary, bands array<long>, signature binary"
 
 
 @lru_cache(1)
@@ -106,7 +106,7 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
         sets = [shingler.distinct(t) for t in cols["text"]]
         return {"set_key": [_key(x) for x in sets], "items": [x.tobytes() for x in sets]}
 
-    made = map_columns(docs.select("text"), compute, "set_key string, items binary", ())
+    made = map_columns(docs.select("text"), compute, "set_key binary, items binary", ())
     return made.where("set_key is not null")
 
 
@@ -131,8 +131,8 @@ def _cut_short(members: DataFrame) -> DataFrame:
     return members.mapInArrow(cut, members.schema)
 
 
-def _key(values: np.ndarray) -> str | None:
-    return hashlib.blake2b(values.tobytes(), digest_size=16).hexdigest() if values.size else None
+def _key(values: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if values.size else None
 
 
 def _rows(good: list[int] | np.ndarray):
@@ -153,7 +153,7 @@ def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).take(_rows(good))
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
-    return both.mapInArrow(keep, "a string, b string")
+    return both.mapInArrow(keep, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +171,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     good.append(i)
             yield batch.select([0, 1]).take(_rows(good))
 
-    found = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(keep, "a string, b string")
+    found = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(keep, "a binary, b binary")
     return materialize(found, "links")
 
 
@@ -235,12 +235,13 @@ def _compare(percent: int):
         import pyarrow as pa
 
         def batch_of(out: list):
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.string()) for k in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], kind) for k in (0, 1)], ["a", "b"])
 
         rest = None  # the last group so far, of at most two blocks
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+            kind = rows.schema.field("set_key").type
             marks = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
             cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1)]
             out: list = []
@@ -275,7 +276,7 @@ def _hidden_links(members: DataFrame, percent: int) -> DataFrame:
     names = ("key", "i", "j", "own", "band", "set_key", "component", "n_shingles", "bands", "signature", "items")
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select(*names)
     groups = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return groups.mapInArrow(_compare(percent), "a string, b string").distinct()
+    return groups.mapInArrow(_compare(percent), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -300,10 +301,12 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
     first = [F.first(c).alias(c) for c in ("n_shingles", "bands", "signature")]
     classes = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *first), "classes")
     members = classes.select("set_key", F.posexplode("bands").alias("band", "key"))
-    heads = materialize(members.groupBy("key").agg(F.min("set_key").alias("lead"), F.count("*").alias("n")).where("n > 1"), "heads")
+    # counts alone travel for all keys; the first members are taken of the few that are shared
+    heads = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "heads")
     shared = materialize(members.join(heads, "key"), "buckets")
+    leads = materialize(shared.groupBy("key").agg(F.min("set_key").alias("lead")), "leads")
     sets = _sets_of(shared.select("set_key").distinct(), classes, docs, width)
-    stars = shared.where("set_key > lead").select(F.col("lead").alias("a"), F.col("set_key").alias("b")).distinct()
+    stars = shared.join(leads, "key").where("set_key > lead").select(F.col("lead").alias("a"), F.col("set_key").alias("b")).distinct()
     signatures = classes.select("set_key", "signature")
     links = _verified(materialize(_likely(stars, signatures), "stars"), sets, percent)
     found = materialize(connected_components(links), "components").withColumnRenamed("node", "set_key")
@@ -320,7 +323,7 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
         more = _verified(extra, sets, percent)
         if not more.isEmpty():
             found = materialize(connected_components(links.union(more)), "components").withColumnRenamed("node", "set_key")
-    for done in (heads, shared, sets, spread, apart, tops):
+    for done in (heads, shared, leads, sets, spread, apart, tops):
         drop_scratch(done)
 
     places = classes.select("set_key", "doc_id").join(found, "set_key", "left").select("set_key", "doc_id", own)
