@@ -20,7 +20,7 @@ from graphloom.operators import ids, resolve
 from graphloom.operators.events import events
 from graphloom.operators.tokens import instances
 from graphloom.scratch import drop_scratch, materialize
-from graphloom.sources.express import EXPRESS_NS, Catalog
+from graphloom.sources.express import EXPRESS_NS, Catalog, recognised
 from graphloom.sources.spf import read_statements
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -203,7 +203,8 @@ class Conversion:
         refs = self.events.where("kind = 'ref'").select("file", "line_num", "ref_line", "code")
         lost = resolve.dangling(refs, "ref_line", self.classed, "line_num", ("file",))
         lost = lost.select("file", "line_num", "code", F.concat(F.lit("no line "), F.col("ref_line").cast("string")).alias("message"))
-        files = self.status.where("state != 'OK'").select("file", F.lit(None).cast("long").alias("line_num"), F.col("state").alias("code"), F.col("schema").alias("message"))
+        about = F.when(F.col("state") != "UNKNOWN_SCHEMA", F.col("schema")).when(recognised("schema"), F.concat(F.lit("no catalog of "), "schema")).otherwise("no recognised schema")
+        files = self.status.where("state != 'OK'").select("file", F.lit(None).cast("long").alias("line_num"), F.col("state").alias("code"), about.alias("message"))
         found = said.unionByName(lost).unionByName(files)
         severity = F.when(F.col("code").startswith("WARNING"), "warning").otherwise("error")
         return found.select("file", "line_num", "code", severity.alias("severity"), "message")

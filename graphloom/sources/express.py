@@ -11,7 +11,8 @@ import re
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 EXPRESS_NS = "https://w3id.org/express#"
 LIST_NS = "https://w3id.org/list#"
@@ -31,8 +32,10 @@ ONTOLOGY_FOLDER = {
 XSD = {"STRING": "string", "REAL": "double", "INTEGER": "integer", "BINARY": "hexBinary", "BOOLEAN": "boolean", "LOGICAL": "logical", "NUMBER": "double"}
 
 
-def known_schema(name: str) -> bool:
-    return name.lower() in {x.lower() for x in ONTOLOGY_FOLDER}
+def recognised(schema: Column | str) -> Column:
+    """Whether a schema has a published ontology, in either case; false for null and the empty name."""
+    names = F.col(schema) if isinstance(schema, str) else schema
+    return F.coalesce(F.lower(names).isin(*(x.lower() for x in ONTOLOGY_FOLDER)), F.lit(False))
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,6 +124,49 @@ def add_to_graph(conversion: Conversion, graph: DataFrame) -> DataFrame:
     return graphs.union(graph, conversion.graph().select(*graph.columns))
 
 
+class TripleStream(Protocol):
+    """Receiver of one file's graph in the order in which it grows; it lives in an executor's Python worker."""
+
+    def start(self) -> None: ...
+    def base(self, address: str) -> None: ...
+    def prefix(self, name: str, namespace: str) -> None: ...
+    def triple(self, subject: str, predicate: str, value: str, kind: str, datatype: str | None) -> None: ...
+    def finish(self) -> None: ...
+
+
+def stream_files(conversion: Conversion, receiver: Callable[[str], TripleStream]) -> None:
+    """Passes each file whose schema has a catalog to a receiver of its own, made on an executor by `receiver(file)`.
+
+    A receiver gets start, base, the seven prefixes, the triples by line number, step and part, and finish; a file
+    that doesn't convert has no triples. Files are spread over the executors; one file goes to one receiver in
+    order, sorted by Spark, which spills. An error of a receiver fails its task, and a task that Spark repeats
+    makes new receivers, which start again.
+    """
+    base = conversion.base
+    known = {schema: prefixes(base, catalog.ontology) for schema, catalog in conversion.catalogs.items()}
+    order = ["line_num", "step", "part"]
+    terms = ["subject", "predicate", "object", "object_kind", "datatype"]
+    # a left join, so that files without triples have a row too
+    files = conversion.schemas.where(F.col("schema").isin(*known))
+    rows = files.join(conversion.triples.select("file", *order, *terms), "file", "left")
+
+    def consume(rows: Iterator) -> None:
+        for file, own in groupby(rows, lambda r: r["file"]):
+            out = None
+            for r in own:
+                if out is None:
+                    out = receiver(file)
+                    out.start()
+                    out.base(base)
+                    for name, namespace in known[r["schema"]]:
+                        out.prefix(name, namespace)
+                if r["subject"] is not None:
+                    out.triple(*(r[c] for c in terms))
+            out.finish()
+
+    rows.repartition("file").sortWithinPartitions("file", *order).foreachPartition(consume)
+
+
 def for_each_partition(conversion: Conversion, consume: Callable[[Iterator], None]) -> None:
     """Passes the triples to a callback on the executors, one iterator of rows a partition."""
     conversion.triples.foreachPartition(consume)

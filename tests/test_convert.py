@@ -210,6 +210,49 @@ def test_stream(spark, tmp_path):
     assert found == {0: len(EXPECTED["segments"]) + 2, 1: len(EXPECTED["setlit"]) + 2}
 
 
+def test_receivers_get_files_in_order(files, tmp_path):
+    class Recorder:
+        """Writes what it receives to a file when it is finished."""
+
+        def __init__(self, folder: str, file: str) -> None:
+            self.path, self.said = f"{folder}/{file.rpartition('/')[2]}.txt", []
+
+        def start(self) -> None:
+            self.said.append("start")
+
+        def base(self, address: str) -> None:
+            self.said.append(f"base {address}")
+
+        def prefix(self, name: str, namespace: str) -> None:
+            self.said.append(f"prefix {name} {namespace}")
+
+        def triple(self, subject, predicate, value, kind, datatype) -> None:
+            self.said.append("\t".join((subject, predicate, kind, value)))
+
+        def finish(self) -> None:
+            with open(self.path, "w") as out:
+                out.write("\n".join([*self.said, "finish"]))
+
+    def shown(line: str) -> str:
+        subject, predicate, kind, value = line.split("\t")
+        return f"{short(subject)} {short(predicate)} {short(value) if kind == 'iri' else repr(value)}"
+
+    folder = str(tmp_path)
+    sinks.stream_files(files.conversion, lambda file: Recorder(folder, file))
+    head = ["start", f"base {BASE}", *(f"prefix {p} {ns}" for p, ns in sinks.prefixes(BASE, CATALOG.ontology))]
+    for name, expected in EXPECTED.items():
+        said = (tmp_path / f"{name}.ifc.txt").read_text().split("\n")
+        assert said[:9] == head and said[-1] == "finish" and [shown(x) for x in said[11:-1]] == expected, name
+    assert (tmp_path / "dangling.ifc.txt").read_text().split("\n") == [*head, "finish"]
+    assert not (tmp_path / "other.ifc.txt").exists()
+
+
+def test_files_without_a_catalog_say_why(spark, tmp_path):
+    got = Files(spark, tmp_path, {"known.ifc": envelope(schema="IFC2X3"), "none.ifc": envelope(schema="OTHER")})
+    said = {got.stem(r["file"]): r["message"] for r in got.conversion.diagnostics.collect()}
+    assert said == {"known": "no catalog of IFC2X3_TC1", "none": "no recognised schema"}
+
+
 def test_folder_without_files(spark, tmp_path):
     from graphloom.sources.spf import list_files
 
@@ -233,5 +276,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--schema", f"IFC4_ADD2_TC1={tmp_path}/mini.exp", "--base", BASE, str(tmp_path / "a.ifc"), str(tmp_path / "out.ttl")]) == 0
     assert "inst:Person_1 rdf:type ifc:Person" in (tmp_path / "out.ttl").read_text()
     assert "unknown name at #2" in capsys.readouterr().err
-    with pytest.raises(SystemExit):
-        main(["--schema", "x=y"])
+    assert main(["--schema", f"IFC4_ADD2_TC1={tmp_path}/mini.exp", "--base", BASE, "--dir", str(tmp_path), "--to", str(tmp_path / "ttl")]) == 0
+    parts = [p for p in (tmp_path / "ttl").rglob("*.txt")]
+    assert len(parts) == 1 and "inst:Person_1 rdf:type ifc:Person" in parts[0].read_text() and parts[0].read_text().startswith("# baseURI: ")
+    for bad in (["--schema", "x=y"], ["--schema", "x=y", "--to", "z", "a", "b"]):
+        with pytest.raises(SystemExit):
+            main(bad)
